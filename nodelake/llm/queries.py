@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodelake.llm import byte_bpe, language_id, quality_classifier, quality_rules, suffix_dedup, token_counts
+from nodelake.llm import byte_bpe, language_id, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
