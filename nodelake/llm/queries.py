@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodelake.llm import byte_bpe, language_id, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
+from nodelake.llm import byte_bpe, language_id, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op9_toxicity, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
