@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nodelake.llm import byte_bpe, language_id, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from nodelake.llm import byte_bpe, language_id, neighbours, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "2024-strict")
 
@@ -44,6 +49,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_neighbours, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op9_toxicity, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
