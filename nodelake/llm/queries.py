@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodelake.llm import byte_bpe, language_id, neighbours, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from nodelake.llm import byte_bpe, language_id, mixing, neighbours, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "2024-strict")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"), temper=0.9, rounds=8, seed=11)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,6 +53,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_neighbours, op4_quality_rules, op6_language_id, op7_suffix_dedup, op8_token_counts, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_neighbours, op4_quality_rules, op5_mixing, op6_language_id, op7_suffix_dedup, op8_token_counts, op9_toxicity, op10_byte_bpe)}
 
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle(temper=0.9, rounds=8, seed=11), "op4_quality_rules": quality_rules.ORACLE}
