@@ -241,7 +241,7 @@ def dedup(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col:
     buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     plain = plain.withColumn("key", F.xxhash64("doc_id", "text"))
-    marks = marks_of(plain, width, buckets, hot_docs).groupBy("key").agg(F.collect_list("marks").alias("marks"))
+    marks = stored(marks_of(plain, width, buckets, hot_docs), "suffix-marks").groupBy("key").agg(F.collect_list("marks").alias("marks"))
     joined = plain.withColumn("text", F.col("text").cast("binary")).join(marks, "key", "left").drop("key")
     kinds = dict(joined.dtypes)
     extra = [f"kept_{i}" for i in range(len(keep))]
