@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from nodelake.plans import catalog_queries, data_queries
+
+QUERIES = catalog_queries.QUERIES | data_queries.QUERIES
+ORACLES = catalog_queries.ORACLES | data_queries.ORACLES
