@@ -1,8 +1,11 @@
 """Predicates over node metadata: fifteen kinds, each a Spark condition.
 
-Metadata is a VARIANT; keys are literal top-level keys (``a.b`` is one key). Every predicate is two
-valued: what is missing, or of another type, is false, and the negative kinds (``NotEq``, ``NotIn``)
-are true there. A JSON null is a value: it makes a key present and can equal null.
+Metadata is a VARIANT; keys are literal top-level keys (``a.b`` is one key). What is missing, or of
+another type, does not meet a predicate, and meets the negative kinds (``NotEq``, ``NotIn``). A JSON
+null is a value: it makes a key present and can equal null.
+
+The positive kinds are plain comparisons of one typed value (a null condition filters like a false
+one), so that Spark can hand them to the scan of a stored table; the negative ones are two valued.
 """
 
 from __future__ import annotations
@@ -173,7 +176,7 @@ class Like(Predicate):
 
 def _on_string(ctx: Context, key: str, test) -> Column:
     if key in ctx.promoted:
-        return F.coalesce(test(F.col(ctx.promoted[key])), F.lit(False))
+        return test(F.col(ctx.promoted[key]))
     v = ctx.value(key)
     return F.coalesce((_kind(v) == "STRING") & test(ctx.typed(key, "string")), F.lit(False))
 
@@ -186,8 +189,15 @@ class Eq(Predicate):
 
     def column(self, ctx):
         if self.key in ctx.promoted and self.value is not None:
-            return F.coalesce(F.col(ctx.promoted[self.key]) == self.value, F.lit(False))
-        return equals(ctx.value(self.key), self.value)
+            return F.col(ctx.promoted[self.key]) == self.value
+        v = ctx.value(self.key)
+        if isinstance(self.value, bool):
+            return (ctx.typed(self.key, "boolean") == self.value) & (_kind(v) == "BOOLEAN")
+        if isinstance(self.value, str):
+            return (ctx.typed(self.key, "string") == self.value) & (_kind(v) == "STRING")
+        if isinstance(self.value, int) and -(2**63) <= self.value < 2**63:
+            return (ctx.typed(self.key, "bigint") == F.lit(self.value).cast("bigint")) & _is_integer(v)
+        return equals(v, self.value)
 
 
 @dataclass(frozen=True)
@@ -199,7 +209,7 @@ class NotEq(Predicate):
     name = "noteq"
 
     def column(self, ctx):
-        return ~Eq(self.key, self.value).column(ctx)
+        return ~F.coalesce(Eq(self.key, self.value).column(ctx), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -216,7 +226,10 @@ class Comparison(Predicate):
     def column(self, ctx):
         if self.key in ctx.promoted and not isinstance(self.value, bool):
             c, v = F.col(ctx.promoted[self.key]), F.lit(self.value)
-            return F.coalesce({"lt": c < v, "gt": c > v, "le": c <= v, "ge": c >= v}[self.operator], F.lit(False))
+            return {"lt": c < v, "gt": c > v, "le": c <= v, "ge": c >= v}[self.operator]
+        if isinstance(self.value, (int, float)) and not isinstance(self.value, bool) and abs(self.value) < 2**53:
+            c, v, kind = ctx.typed(self.key, "double"), F.lit(float(self.value)), ctx.value(self.key)
+            return {"lt": c < v, "gt": c > v, "le": c <= v, "ge": c >= v}[self.operator] & (_is_integer(kind) | _is_fraction(kind))
         return compares(ctx.value(self.key), self.operator, self.value)
 
 
@@ -242,8 +255,8 @@ class In(Predicate):
 
     def column(self, ctx):
         if self.key in ctx.promoted and None not in self.values:
-            return F.coalesce(F.col(ctx.promoted[self.key]).isin(list(self.values)), F.lit(False))
-        return reduce(lambda a, b: a | b, [Eq(self.key, v).column(ctx) for v in self.values], F.lit(False))
+            return F.col(ctx.promoted[self.key]).isin(list(self.values))
+        return reduce(lambda a, b: a | b, [F.coalesce(Eq(self.key, v).column(ctx), F.lit(False)) for v in self.values], F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -255,7 +268,7 @@ class NotIn(Predicate):
     name = "notin"
 
     def column(self, ctx):
-        return ~In(self.key, self.values).column(ctx)
+        return ~F.coalesce(In(self.key, self.values).column(ctx), F.lit(False))
 
 
 @dataclass(frozen=True)
