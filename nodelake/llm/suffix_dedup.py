@@ -5,11 +5,13 @@ equal to that depth are exactly the repeated windows. The digits of a window are
 anchor on, the 16-byte string with the least hash in it: equal windows have equal anchors at equal
 places, so all windows of one anchor (a zone of at most twice the width) move as one record.
 
-1. First digit: the anchor. Anchors that occur in one document only are closed (``shared_keys``).
+0. Of equal texts (told by 128 bits of hash) the one with the least doc_id goes on; every byte of the
+   others goes.
+1. First digit: the anchor. Anchors that occur in one text only are closed (``shared_keys``).
 2. The zones of the open anchors are dealt by anchor. An anchor with a single distinct zone is closed:
    all its windows are equal. The windows of the others are sorted by their bytes, eight at a pass;
    a group is closed as soon as it has one window, and what stays together to the end is equal.
-   Every comparison here is of whole bytes; no hash decides a result.
+   Every comparison here is of whole bytes.
 3. Each group's smallest doc_id is compared with the others', and the marks go back to the documents.
 
 An anchor that more than max(``hot_docs``, a ten-thousandth of all documents) documents hold is dealt by its
@@ -36,7 +38,9 @@ from nodelake.llm.shared_keys import code, per_owner, runs, shared_keys
 from nodelake.session import stored
 
 ANCHOR = 16
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Zones at a time, and bytes of zones that a task holds to find equal ones.
+SLICE, HELD = 20_000, 12_000_000
 ODD = 0x9E3779B97F4A7C15
 MARKS = "key long, marks binary"
 MARK = np.dtype([("lo", "<u4"), ("mask", "<u8")])
@@ -121,115 +125,157 @@ def smallest(data: np.ndarray, start: np.ndarray, value: np.ndarray, width: int)
     return out
 
 
-def marks_of(docs: DataFrame, width: int, buckets: int, hot_docs: int) -> DataFrame:
-    """key, marks: windows to remove, packed as (first window, bits of it and those after)."""
+def windows_hash(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each string data[start : start + width]."""
+    out = np.zeros(len(start), np.uint64)
+    for j in range(width):
+        out = out * np.uint64(ODD) + data[start + j]
+    return mixed(out, 4)
+
+
+def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings data[start : start + size] as one Arrow array."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
+def packed_marks(key: np.ndarray, lo: np.ndarray, mask: np.ndarray) -> list[tuple]:
+    """key and the packed marks of each document."""
+    packed = np.zeros(len(key), MARK)
+    packed["lo"], packed["mask"] = lo, mask
+    return list(per_owner(key, packed))
+
+
+def told(marks: list[tuple], step: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(marks), step):
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in marks[lo : lo + step]], pa.int64()), pa.array([r[1] for r in marks[lo : lo + step]], pa.binary())], ["key", "marks"])
+
+
+def first_copies(docs: DataFrame, width: int) -> DataFrame:
+    """key, text_hash of the document with the least id of each distinct text of ``width`` bytes or more."""
+    long = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
+    hashed = long.select("doc_id", "key", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), "text").alias("check"))
+    return hashed.groupBy("text_hash", "check").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key", "text_hash")
+
+
+def marks_of(docs: DataFrame, firsts: DataFrame, width: int, buckets: int, hot_docs: int) -> DataFrame:
+    """key, marks: windows to remove from ``firsts``, packed as (first window, bits of it and those after)."""
     span = width - ANCHOR + 1
     if not 1 <= span <= 64:
         raise ValueError(f"width must be from {ANCHOR} to {ANCHOR + 63}")
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)).select("key", "doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
 
     def anchors(batch):
-        keys = np.array(batch.column("key").to_pylist(), np.int64)
-        for lo, _, _, _, (doc, _, _, h) in chunks(keys, batch.column("text").to_pylist(), width):
-            yield keys[lo + doc], h
+        owners = np.array(batch.column("text_hash").to_pylist(), np.int64)
+        for lo, _, _, _, (doc, _, _, h) in chunks(owners, batch.column("text").to_pylist(), width):
+            yield owners[lo + doc], h
 
     n = docs.count()
-    open_anchors = stored(shared_keys(rows, anchors, buckets, hot=max(hot_docs, n // 10_000)), "suffix-anchors")
+    by_text = rows.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    open_anchors = stored(shared_keys(by_text, anchors, buckets, hot=max(hot_docs, n // 10_000)), "suffix-anchors")
     hot = [np.frombuffer(r[0], "<u8") for r in open_anchors.where(F.col("owner").isNull()).select("keys").toLocalIterator()]
     hot_codes = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, "<u8"), *hot])))
-    told = open_anchors.where(F.col("owner").isNotNull()).groupBy(F.col("owner").alias("key")).agg(F.collect_list("keys").alias("open"))
+    open_of = open_anchors.where(F.col("owner").isNotNull()).groupBy(F.col("owner").alias("text_hash")).agg(F.collect_list("keys").alias("open"))
+    open_of = firsts.join(open_of, "text_hash").select("key", "open")
     sent_schema = "deal long, zone binary, doc_id long, key long, lo int, marks binary"
     names, types = [x.split()[0] for x in sent_schema.split(", ")], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
+    def once(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Zones in order of doc_id: the first of equal ones is sent, the others are marked here."""
+        zone = pa.chunked_array([p[0] for p in parts], pa.binary()).combine_chunks()
+        deal_, ids, keys, lo, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
+        same = zone.dictionary_encode().indices.to_numpy()
+        _, first = np.unique(same, return_index=True)
+        known = ids[first][same] < ids
+        send = np.flatnonzero(~known)
+        for at in range(0, len(send), 20_000):
+            own = send[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(deal_[own]), zone.take(pa.array(own)), pa.array(ids[own]), pa.array(keys[own]), pa.array(lo[own], pa.int32()), pa.nulls(len(own), pa.binary())], names)
+        whole = (np.uint64(2**64 - 1) >> (64 - count[known]).astype(np.uint64)) if known.any() else np.zeros(0, np.uint64)
+        marked = packed_marks(keys[known], lo[known], whole)
+        for at in range(0, len(marked), 20_000):
+            some = marked[at : at + 20_000]
+            own = pa.array([k for k, _ in some], pa.int64())
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), types[2]), own, pa.nulls(len(some), types[4]), pa.array([m for _, m in some], pa.binary())], names)
+
     def deal(batches):
         for batch in batches:
             batch = pa.Table.from_batches([batch]).sort_by("doc_id").combine_chunks().to_batches()[0] if batch.num_rows else batch
-            keys, ids, texts = (batch.column(c).to_pylist() for c in ("key", "doc_id", "text"))
-            opened = batch.column("open")
-            seen: dict[bytes, int] = {}  # zone -> doc_id of the first document here that has it
-            known_lo, known_mask, known_key, out = [], [], [], []
+            keys, ids, texts, opened = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("text").to_pylist(), batch.column("open").to_pylist()
+            del batch
+            held, size = [], 0
             for lo, hi, data, ends, (doc, first, last, h) in chunks(keys, texts, width):
-                whole, codes, raw = np.concatenate([[0], ends]), code(h, buckets), data.tobytes()
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    own = slice(cut[i], cut[i + 1])
-                    wanted = np.frombuffer(b"".join(opened[lo + i].as_py()), "<u8")
-                    for z in cut[i] + np.flatnonzero(np.isin(codes[own], wanted)):
-                        a, b = int(first[z]), int(last[z])
-                        is_hot = len(hot_codes.value) and hot_codes.value[min(np.searchsorted(hot_codes.value, codes[z]), len(hot_codes.value) - 1)] == codes[z]
-                        for x, y in [(s, s) for s in range(a, b + 1)] if is_hot else [(a, b)]:
-                            zone = raw[x : y + width]
-                            at, before = x - int(whole[i]), seen.setdefault(zone, ids[lo + i])
-                            if before < ids[lo + i]:
-                                known_key.append(keys[lo + i])
-                                known_lo.append(at)
-                                known_mask.append((1 << (y - x + 1)) - 1)
-                            else:
-                                out.append((int.from_bytes(hashlib.blake2b(zone, digest_size=8).digest(), "little", signed=True) if is_hot else int(h[z].astype(np.int64)), zone, ids[lo + i], keys[lo + i], at, None))
-            packed = np.array(list(zip(known_lo, known_mask, strict=True)), MARK)
-            out += [(k, None, None, k, None, m) for k, m in per_owner(np.array(known_key, np.int64), packed)]
-            for lo in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[lo : lo + 20_000]], t) for i, t in enumerate(types)], names)
+                codes, begin = code(h, buckets), np.concatenate([[0], ends[:-1]])
+                wanted = [b"".join(x) for x in opened[lo:hi]]
+                owner = np.repeat(np.arange(hi - lo, dtype=np.uint64), [len(x) // 8 for x in wanted])
+                # Documents and codes as one number each; a wrong match only sends a zone that none shares.
+                zone = np.flatnonzero(np.isin(mixed(codes ^ (doc.astype(np.uint64) * np.uint64(ODD)), 6), mixed(np.frombuffer(b"".join(wanted), "<u8") ^ (owner * np.uint64(ODD)), 6)))
+                is_hot = np.isin(codes[zone], hot_codes.value)
+                for at in range(0, len(zone), SLICE):
+                    z, each = zone[at : at + SLICE], is_hot[at : at + SLICE]
+                    n_parts = np.where(each, last[z] - first[z] + 1, 1)
+                    z, each = np.repeat(z, n_parts), np.repeat(each, n_parts)
+                    start = first[z] + np.where(each, np.arange(len(z)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts), 0)
+                    count = np.where(each, 1, last[z] - first[z] + 1)
+                    deal_ = h[z]
+                    deal_[each] = windows_hash(data, start[each], width)
+                    held.append((strings(data, start, count + width - 1), deal_.view(np.int64), ids[lo + doc[z]], keys[lo + doc[z]], start - begin[doc[z]], count))
+                    size += held[-1][0].nbytes
+                    if size > HELD:
+                        yield from once(held)
+                        held, size = [], 0
+            if held:
+                yield from once(held)
 
     def sort(batches):
-        where: dict[bytes, int] = {}
-        zone_deal, least, zone_at, doc_ids, keys, los = [], [], [], [], [], []
+        parts = []
         for batch in batches:
-            passed = []
-            for deal_, zone, doc_id, key, lo, marks in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if zone is None:
-                    passed.append((key, marks))
-                    continue
-                at = where.setdefault(zone, len(where))
-                if at == len(least):
-                    least.append(doc_id)
-                    zone_deal.append(deal_)
-                elif doc_id < least[at]:
-                    least[at] = doc_id
-                zone_at.append(at)
-                doc_ids.append(doc_id)
-                keys.append(key)
-                los.append(lo)
-            if passed:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in passed], pa.int64()), pa.array([r[1] for r in passed], pa.binary())], ["key", "marks"])
-        if not where:
+            passed = batch.filter(batch.column("zone").is_null())
+            if passed.num_rows:
+                yield passed.select(["key", "marks"])
+            if passed.num_rows < batch.num_rows:
+                parts.append(batch.filter(batch.column("zone").is_valid()))
+        if not parts:
             return
-        sizes = np.array([len(z) for z in where])
-        n_windows = sizes - width + 1
-        data, begin = np.frombuffer(b"".join(where), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        where.clear()
+        deals, doc_ids, keys, los = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("deal", "doc_id", "key", "lo"))
+        coded = pa.chunked_array([p.column("zone") for p in parts]).combine_chunks().dictionary_encode()
+        del parts
+        zone_at, zone = coded.indices.to_numpy(), coded.dictionary
+        begin = np.frombuffer(zone.buffers()[1], np.int32)[: len(zone) + 1].astype(np.int64)
+        data = np.frombuffer(zone.buffers()[2], np.uint8)[: begin[-1]]
+        n_windows = np.diff(begin) - width + 1
+        least, zone_deal = np.full(len(zone), np.iinfo(np.int64).max), np.zeros(len(zone), np.int64)
+        np.minimum.at(least, zone_at, doc_ids)
+        zone_deal[zone_at] = deals
         first_window = np.concatenate([[0], np.cumsum(n_windows)])
-        value = np.repeat(np.array(least, np.int64), n_windows)
-        _, group, members = np.unique(np.array(zone_deal), return_inverse=True, return_counts=True)
+        value = np.repeat(least, n_windows)
+        _, group, members = np.unique(zone_deal, return_inverse=True, return_counts=True)
         pick = np.repeat(members[group] > 1, n_windows)
-        start = (np.repeat(begin - first_window[:-1], n_windows) + np.arange(len(value)))[pick]
+        start = (np.repeat(begin[:-1] - first_window[:-1], n_windows) + np.arange(len(value)))[pick]
         value[pick] = smallest(data, start, value[pick], width)
-        zone_at, doc_ids, keys, los = (np.array(x, np.int64) for x in (zone_at, doc_ids, keys, los))
         mask = np.zeros(len(zone_at), np.uint64)
         for j in range(int(n_windows.max())):
-            there = n_windows[zone_at] > j
-            smaller = np.zeros(len(zone_at), bool)
-            smaller[there] = value[first_window[zone_at[there]] + j] < doc_ids[there]
-            mask |= smaller.astype(np.uint64) << np.uint64(j)
+            there = np.flatnonzero(n_windows[zone_at] > j)
+            smaller = value[first_window[zone_at[there]] + j] < doc_ids[there]
+            mask[there] |= smaller.astype(np.uint64) << np.uint64(j)
         some = mask > 0
-        packed = np.zeros(int(some.sum()), MARK)
-        packed["lo"], packed["mask"] = los[some], mask[some]
-        out = list(per_owner(keys[some], packed))
-        for lo in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out[lo : lo + 20_000]], pa.int64()), pa.array([r[1] for r in out[lo : lo + 20_000]], pa.binary())], ["key", "marks"])
+        yield from told(packed_marks(keys[some], los[some], mask[some]))
 
-    dealt = rows.join(told, "key").mapInArrow(deal, sent_schema)
-    return dealt.repartition(buckets, "deal").mapInArrow(sort, MARKS)
+    chosen = rows.select("key", "doc_id", F.col("text").cast("binary").alias("text")).join(open_of, "key")
+    return chosen.mapInArrow(deal, sent_schema).repartition(buckets, "deal").mapInArrow(sort, MARKS)
 
 
 def removed(text: bytes, marks: list[bytes], width: int) -> np.ndarray:
     """Which bytes of a text its marks cover."""
     edge = np.zeros(len(text) + 1, np.int64)
-    for packed in marks or []:
-        for lo, mask in np.frombuffer(packed, MARK).tolist():
-            bits = np.flatnonzero(np.unpackbits(np.array([mask], "<u8").view(np.uint8), bitorder="little")) + lo
-            np.add.at(edge, bits, 1)
-            np.add.at(edge, bits + width, -1)
+    packed = np.frombuffer(b"".join(marks), MARK)
+    for at in range(0, len(packed), SLICE):
+        some = packed[at : at + SLICE]
+        row, bit = np.nonzero((some["mask"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+        window = some["lo"][row] + bit
+        edge += np.bincount(window, minlength=len(edge)) - np.bincount(window + width, minlength=len(edge))
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -241,8 +287,10 @@ def dedup(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col:
     buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     plain = plain.withColumn("key", F.xxhash64("doc_id", "text"))
-    marks = stored(marks_of(plain, width, buckets, hot_docs), "suffix-marks").groupBy("key").agg(F.collect_list("marks").alias("marks"))
-    joined = plain.withColumn("text", F.col("text").cast("binary")).join(marks, "key", "left").drop("key")
+    firsts = stored(first_copies(plain, width), "suffix-texts")
+    marks = stored(marks_of(plain, firsts, width, buckets, hot_docs), "suffix-marks").groupBy("key").agg(F.collect_list("marks").alias("marks"))
+    judged = firsts.select("key").distinct().join(marks, "key", "left").select("key", F.coalesce("marks", F.array().cast("array<binary>")).alias("marks"))
+    joined = plain.withColumn("text", F.col("text").cast("binary")).join(judged, "key", "left").drop("key")
     kinds = dict(joined.dtypes)
     extra = [f"kept_{i}" for i in range(len(keep))]
     names = [x.split()[0] for x in RESULT.split(", ")] + (["kept_text"] if with_text else [])
@@ -250,10 +298,12 @@ def dedup(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col:
     def cut(batches):
         for batch in batches:
             out = []
-            for text, marks in zip(batch.column("text"), batch.column("marks"), strict=True):
+            for doc_id, text, marks in zip(*(batch.column(c) for c in ("doc_id", "text", "marks")), strict=True):
                 text, marks = text.as_py(), marks.as_py()
                 left, gone, spans = text, 0, 0
-                if marks:
+                if marks is None and doc_id.is_valid and len(text) >= width:  # a copy of a document with a smaller id
+                    left, gone, spans = b"", len(text), 1
+                elif marks:
                     covered = removed(text, marks, width)
                     gone, spans = int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     left = np.frombuffer(text, np.uint8)[~covered].tobytes()
