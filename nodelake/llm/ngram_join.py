@@ -8,14 +8,16 @@ linked sets lie in both k-extended prefixes (the first n - ceil(similarity * n)
 2. Extended prefixes (k a tenth of the set), tokens in order of their hash: ``shared_keys`` closes the
    tokens of one class only. A class with fewer open tokens than any partner of its size would share
    with it is alone. What is left are near copies and texts made mostly of shared passages.
-3. Rounds over the open tokens: each class is checked against one leader, the least class that most
-   of its tokens name, and links become components. A token whose classes are all in one component is
-   closed; a class with too few open tokens is done. So a group of thousands costs a check for each
-   member, not for each pair.
+3. Rounds over the open tokens: each class is checked against one leader, a drawn class that most of
+   its tokens name (another one each round), and links become components. A token whose classes are all
+   in one component is closed; a class with too few open tokens is done. So a group of thousands costs a
+   check for each member, not for each pair.
 4. The rest meets exactly: tokens are put in order of frequency, those of one component first, and a
    class with too many of these is done. In the 2-extended prefix, rare tokens (at most ``frequent``
    classes) are indexed alone and frequent ones as combinations of two: a linked pair shares a rare one
-   or two frequent ones. Pairs of different components that meet are checked.
+   or two frequent ones. Prefixes are as short as the two sizes allow: the smaller set of a pair is
+   indexed under its size class, the larger one looks in each class that it can link to. Pairs of
+   different components that meet, early enough in both for the overlap that their sizes ask, are checked.
 
 Every check compares whole sets. Equal sets and members of one component are never expanded to pairs.
 
@@ -27,24 +29,28 @@ table; other columns are carried only if asked for.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodelake.llm.components import components
 from nodelake.llm.shared_keys import shared_keys
 from nodelake.llm.suffix_dedup import mixed
+from nodelake.llm.text_stats import let
 from nodelake.session import stored
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Sizes of a class of sets differ by this factor at most.
+RATIO = 1.06
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
-SETS = "node long, n long, tokens binary"
+SETS = "owner long, node long, n long, tokens binary"
 
 
 def required(n, percent: int):
@@ -140,51 +146,95 @@ def close_sizes(x: str, y: str, percent: int):
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
+def spread(names: list[str], columns: list[np.ndarray], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of each set, with the set's other columns; some 300,000 at a time."""
+    size = np.array([len(t) for t in tokens], np.int64)
+    group = np.cumsum(size) // 300_000
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        yield pa.record_batch([*[pa.array(np.repeat(c[own], size[own])) for c in columns], pa.array(np.concatenate([tokens[i] for i in own]))], [*names, "token"])
+
+
 def with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("label", F.col("node"))
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def star_round(postings: DataFrame, labels: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Postings still open (token, node, n, label), and a pair for each class with its leader."""
-    need = F.greatest(F.lit(1), F.floor((F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 9) / 10))
+def star_round(postings: DataFrame, labels: DataFrame | None, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Postings still open (token, node, n), and a pair for each class with its leader, another one each ``turn``."""
     now = with_labels(postings, labels)
-    tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("node", "n", "label")).alias("leader")).where("lo <> hi").drop("lo", "hi")
-    alive = now.join(tokens, "token")
-    enough = alive.groupBy("node").agg(F.count(F.lit(1)).alias("open"), F.first("n").alias("n")).where(F.col("open") >= need).select("node")
-    alive = stored(alive.join(enough, "node", "left_semi"), "open-tokens")
+    tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "label")).alias("leader")).where("lo <> hi").drop("lo", "hi")
+    alive = stored(now.join(tokens, "token"), "open-tokens")
+    enough = alive.groupBy("node").agg(F.count(F.lit(1)).alias("open"), F.min("n").alias("n")).where(F.col("open") >= open_needed(percent)).select("node")
+    alive = alive.join(enough, "node", "left_semi")
     votes = alive.where((F.col("label") != F.col("leader.label")) & close_sizes("n", "leader.n", percent)).groupBy("node", F.col("leader.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("minus"))).alias("best"))
     return alive.select("token", "node", "n"), best.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))
 
 
+def open_needed(percent: int) -> Column:
+    """Tokens of its extended prefix that a set shares with any set it links to, at least."""
+    return F.greatest(F.lit(1), F.floor((F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 9) / 10))
+
+
+def overlap(total: Column, percent: int) -> Column:
+    """Least overlap of two linked sets whose sizes add up to ``total``."""
+    return F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(RATIO))).cast("int")
+
+
+def keyed_prefixes(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """token, node, n, label, at, small, large: what each set is indexed by.
+
+    A set is met as the smaller one of a pair (``small``) or as the larger (``large``); ``at`` bounds
+    the tokens before this one that the partner lacks. A combination also names the size class of the
+    smaller set, so that the larger one's prefix is as short as that class allows.
+    """
+    n, least = F.col("n"), F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    closed = n - F.size("tokens")
+    lacks_as_small, lacks_as_large = n - overlap(n + n, percent), n - least
+    placed = F.transform(F.slice("tokens", 1, F.greatest(F.lit(0), lacks_as_large + 2 - closed).cast("int")), lambda t, i: F.struct(t["df"].alias("df"), t["token"].alias("token"), (closed + i - 1).alias("at")))
+    entry = lambda token, at, small, large: F.struct(token.alias("token"), at.cast("long").alias("at"), small.alias("small"), large.alias("large"))
+    rare = lambda all_: F.transform(F.filter(all_, lambda t: t["df"] <= frequent), lambda t: entry(t["token"], t["at"], t["at"] <= lacks_as_small, F.lit(True)))
+
+    def pairs(often: Column) -> Column:
+        return F.flatten(F.transform(often, lambda t, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda u: F.struct(F.xxhash64(t["token"], u["token"]).alias("token"), u["at"].alias("at")))))
+
+    def by_class(combined: Column) -> Column:
+        as_small = F.transform(F.filter(combined, lambda c: c["at"] <= lacks_as_small), lambda c: entry(F.xxhash64(c["token"], size_class(n)), c["at"], F.lit(True), F.lit(False)))
+        smallest = lambda k: F.greatest(F.pow(F.lit(RATIO), k) * 0.999999, least.cast("double"))
+        as_large = F.transform(
+            F.sequence(size_class(least), size_class(n)),
+            lambda k: F.transform(F.filter(combined, lambda c: c["at"] <= n - overlap(n + smallest(k), percent)), lambda c: entry(F.xxhash64(c["token"], k), c["at"], F.lit(False), F.lit(True))),
+        )
+        return F.concat(as_small, F.flatten(as_large))
+
+    both = let(placed, lambda all_: F.concat(rare(all_), let(let(F.filter(all_, lambda t: t["df"] > frequent), pairs), by_class)))
+    return sets.where(closed <= lacks_as_large).select("node", "n", "label", F.inline(both))
+
+
 def meeting_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, frequent: int) -> DataFrame:
     """All pairs of different components that share a rare token or a combination of two frequent ones."""
 
     def explode(batches):
         for batch in batches:
-            for node, n, tokens in zip(*(batch.column(i) for i in range(3)), strict=True):
-                t = np.frombuffer(tokens.as_buffer(), "<i8")
-                yield pa.record_batch([pa.array(np.full(len(t), node.as_py())), pa.array(np.full(len(t), n.as_py())), pa.array(t)], ["node", "n", "token"])
-
-    some = sets.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "n", "tokens")
-    rows = stored(with_labels(some.mapInArrow(explode, "node long, n long, token long").distinct(), labels), "met-tokens")
-    stats = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("open"))
-    may_miss = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    graded = rows.join(stats, "token")
-    closed = graded.groupBy("node", "n", "label").agg(
-        F.sum((~F.col("open")).cast("long")).alias("closed"),
-        F.sort_array(F.collect_list(F.when(F.col("open"), F.struct("df", "token")))).alias("tokens"),
-    ).where(F.col("closed") <= may_miss)
-    prefix = closed.select("node", "n", "label", F.slice("tokens", 1, (may_miss + 2 - F.col("closed")).cast("int")).alias("tokens"))
-    rare = F.transform(F.filter("tokens", lambda t: t["df"] <= frequent), lambda t: t["token"])
-    often = F.transform(F.filter("tokens", lambda t: t["df"] > frequent), lambda t: t["token"])
-    combined = F.flatten(F.transform(often, lambda t, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda u: F.xxhash64(t, u))))
-    keyed = stored(prefix.select("node", "n", "label", F.explode(F.concat(rare, combined)).alias("token")), "combinations")
-    x = keyed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = keyed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close_sizes("na", "nb", percent)).select("a", "b").distinct()
+            tokens = [np.frombuffer(t.as_buffer(), "<i8") for t in batch.column("tokens")]
+            yield from spread(["owner", "node", "n"], [batch.column(c).to_numpy() for c in ("owner", "node", "n")], tokens)
+
+    some = sets.join(nodes.select("node").distinct(), "node", "left_semi").select("owner", "node", "n", "tokens")
+    rows = stored(with_labels(some.mapInArrow(explode, "owner long, node long, n long, token long"), labels), "met-tokens")
+    open_ = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "df")
+    ordered = rows.join(open_, "token").groupBy("owner", "node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    keyed = stored(keyed_prefixes(ordered, percent, frequent), "combinations")
+    x = keyed.where("small").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"))
+    y = keyed.where("large").select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"))
+    na, nb, both = F.col("na"), F.col("nb"), overlap(F.col("na") + F.col("nb"), percent)
+    met = (F.col("la") != F.col("lb")) & ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.lit(100) * na >= F.lit(percent) * nb) & (F.col("ia") <= na - both) & (F.col("ib") <= nb - both)
+    return x.join(y, "token").where(met).select("a", "b").distinct()
 
 
 def join_groups(
@@ -193,15 +243,18 @@ def join_groups(
     width: int = 5,
     percent: int = 80,
     frequent: int = 64,
-    rounds: int = 3,
+    rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of ``docs``.
 
-    ``rounds`` (1 or more) of leader checks come before the exact meeting of what is left.
+    ``percent`` is over 50; ``rounds`` (1 or more) of leader checks come before the exact meeting of what
+    is left.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
     buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
@@ -223,32 +276,29 @@ def join_groups(
             own = rank < (n - required(n, percent) + extension(n))[doc]
             yield owner[doc[own]], token[own]
 
-    found = stored(shared_keys(rows.where("doc_id is not null").select("text"), prefixes, buckets), "shared-shingles")
-    need = F.greatest(F.lit(1), F.floor((F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 9) / 10))
-    open_ = found.groupBy("owner").agg(F.sum(F.octet_length("keys") / 8).alias("open"))
-    left = stored(classes.join(open_, "owner").where(F.col("open") >= need).select("owner", "node", "key", "n"), "shingle-candidates")
+    found = shared_keys(rows.where("doc_id is not null").select("text"), prefixes, buckets).groupBy("owner").agg(F.collect_list("keys").alias("keys"), F.sum(F.octet_length("keys") / 8).alias("open"))
+    left = stored(classes.join(found, "owner").where(F.col("open") >= open_needed(percent)).select("owner", "node", "key", "n", "keys"), "shingle-candidates")
 
     def post(batches):
         for batch in batches:
-            for node, n, keys in zip(*(batch.column(i) for i in range(3)), strict=True):
-                t = np.unique(np.frombuffer(keys.as_buffer(), "<i8"))
-                yield pa.record_batch([pa.array(t), pa.array(np.full(len(t), node.as_py())), pa.array(np.full(len(t), n.as_py()))], ["token", "node", "n"])
+            tokens = [np.unique(np.frombuffer(b"".join(keys), "<i8")) for keys in batch.column("keys").to_pylist()]
+            yield from spread(["node", "n"], [batch.column(c).to_numpy() for c in ("node", "n")], tokens)
 
     def gather(batches):
         for batch in batches:
             out = []
-            texts, nodes = batch.select(["text"]), batch.column("node").to_pylist()
-            for lo, hi, doc, token in chunks(texts, width):
+            owners, nodes = batch.column("owner").to_pylist(), batch.column("node").to_pylist()
+            for lo, hi, doc, token in chunks(batch, width):
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                out += [(nodes[lo + i], int(cut[i + 1] - cut[i]), token[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo)]
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.binary()])], ["node", "n", "tokens"])
+                out += [(owners[lo + i], nodes[lo + i], int(cut[i + 1] - cut[i]), token[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo)]
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["owner", "node", "n", "tokens"])
 
-    chosen = rows.select("key", "text").join(left.select("key", "node").distinct(), "key")
-    sets = stored(chosen.select("node", "text").mapInArrow(gather, SETS), "shingle-sets")
-    postings = found.join(left.select("owner", "node", "n"), "owner").select("node", "n", "keys").mapInArrow(post, "token long, node long, n long").distinct()
+    chosen = rows.select("key", "text").join(left.select("key", "owner", "node"), "key").dropDuplicates(["key"])
+    sets = stored(chosen.select("owner", "node", "text").mapInArrow(gather, SETS), "shingle-sets")
+    postings = stored(left.select("node", "n", "keys").mapInArrow(post, "node long, n long, token long"), "shingle-postings")
     links, labels = None, None
-    for _ in range(rounds):
-        postings, pairs = star_round(postings, labels, percent)
+    for turn in range(rounds):
+        postings, pairs = star_round(postings, labels, percent, turn)
         new = verified(pairs, sets, percent)
         links = stored(new if links is None else links.union(new), "shingle-links")
         labels = stored(components(links).select(F.col("node"), F.col("label")), "shingle-labels")
