@@ -8,8 +8,8 @@ linked sets lie in both k-extended prefixes (the first n - ceil(similarity * n)
 2. Extended prefixes (k a tenth of the set), tokens in order of their hash: ``shared_keys`` closes the
    tokens of one class only. A class with fewer open tokens than any partner of its size would share
    with it is alone. What is left are near copies and texts made mostly of shared passages.
-3. Rounds over the open tokens: each class is checked against one leader, a drawn class that most of
-   its tokens name (another one each round), and links become components. A token whose classes are all
+3. Rounds over the open tokens: each class is checked against one leader, the class that most of its
+   tokens name (first the most common texts, then drawn ones), and links become components. A token whose classes are all
    in one component is closed; a class with too few open tokens is done. So a group of thousands costs a
    check for each member, not for each pair.
 4. The rest meets exactly: tokens are put in order of frequency, those of one component first, and a
@@ -162,15 +162,20 @@ def with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def star_round(postings: DataFrame, labels: DataFrame | None, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Postings still open (token, node, n), and a pair for each class with its leader, another one each ``turn``."""
+    """Postings still open, and a pair for each class with its leader.
+
+    On the first ``turn`` a token's leader is the class with the largest share of open tokens (the text
+    that the others were made from has no tokens of its own); later it is drawn.
+    """
     now = with_labels(postings, labels)
-    tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "label")).alias("leader")).where("lo <> hi").drop("lo", "hi")
+    rank = F.col("share") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("minus"), "node", "n", "label")).alias("leader")).where("lo <> hi").drop("lo", "hi")
     alive = stored(now.join(tokens, "token"), "open-tokens")
     enough = alive.groupBy("node").agg(F.count(F.lit(1)).alias("open"), F.min("n").alias("n")).where(F.col("open") >= open_needed(percent)).select("node")
     alive = alive.join(enough, "node", "left_semi")
     votes = alive.where((F.col("label") != F.col("leader.label")) & close_sizes("n", "leader.n", percent)).groupBy("node", F.col("leader.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("minus"))).alias("best"))
-    return alive.select("token", "node", "n"), best.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))
+    return alive.select("token", "node", "n", "share"), best.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))
 
 
 def open_needed(percent: int) -> Column:
@@ -282,7 +287,8 @@ def join_groups(
     def post(batches):
         for batch in batches:
             tokens = [np.unique(np.frombuffer(b"".join(keys), "<i8")) for keys in batch.column("keys").to_pylist()]
-            yield from spread(["node", "n"], [batch.column(c).to_numpy() for c in ("node", "n")], tokens)
+            node, n = (batch.column(c).to_numpy() for c in ("node", "n"))
+            yield from spread(["node", "n", "share"], [node, n, np.array([len(t) for t in tokens]) / n], tokens)
 
     def gather(batches):
         for batch in batches:
@@ -295,7 +301,7 @@ def join_groups(
 
     chosen = rows.select("key", "text").join(left.select("key", "owner", "node"), "key").dropDuplicates(["key"])
     sets = stored(chosen.select("owner", "node", "text").mapInArrow(gather, SETS), "shingle-sets")
-    postings = stored(left.select("node", "n", "keys").mapInArrow(post, "node long, n long, token long"), "shingle-postings")
+    postings = stored(left.select("node", "n", "keys").mapInArrow(post, "node long, n long, share double, token long"), "shingle-postings")
     links, labels = None, None
     for turn in range(rounds):
         postings, pairs = star_round(postings, labels, percent, turn)
