@@ -165,8 +165,13 @@ def awkward_buffers(spark, sf_dir) -> DataFrame:
     return A.awkward_buffers(c, ["segment"]).select("i0", F.explode("buffers").alias("form_key", "buffer"))
 
 
+def all_places(spark, sf_dir) -> DataFrame:
+    return matrix(spark, sf_dir).select("i0", "i1", A.ravel(2, (rows_of(spark, sf_dir), WIDTH)).alias("flat"))
+
+
 def places(spark, sf_dir) -> DataFrame:
-    return matrix(spark, sf_dir).where("i0 < 50").select("i0", "i1", A.ravel(2, (rows_of(spark, sf_dir), WIDTH)).alias("flat"))
+    """The first 50 rows of ``all_places``, as the query's SQL has it."""
+    return all_places(spark, sf_dir).where("i0 < 50")
 
 
 def partition_rows(fields):
@@ -258,6 +263,7 @@ QUERIES = {
     "n_awkward_counts": lambda spark, sf_dir: A.awkward_counts(lists(spark, sf_dir), "roles").select("i0", F.col("n").cast("long").alias("n")),
     "n_awkward_buffers": awkward_buffers,
     "n_strides": places,
+    "n_strides_all": all_places,
     "r_partition": partition_rows(None),
     "r_partition_fields": partition_rows("l_orderkey, l_linenumber,l_quantity"),
     "r_time_column": time_column,
@@ -305,6 +311,7 @@ FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(n) AS m, max(CASE WHEN l_line
     "n_awkward_counts": "SELECT conv_id AS i0, count(*) AS n FROM conversations GROUP BY conv_id",
     "n_awkward_buffers": "SELECT c_custkey AS i0, 'segment' AS form_key, c_mktsegment AS buffer FROM customer",
     "n_strides": f"SELECT i0, i1, i0 * 64 + i1 AS flat FROM {_MATRIX} WHERE i0 < 50",
+    "n_strides_all": f"SELECT i0, i1, i0 * 64 + i1 AS flat FROM {_MATRIX}",
     "r_partition": "SELECT * FROM lineitem WHERE l_orderkey % 8 = 3",
     "r_partition_fields": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 8 = 3",
     "r_time_column": f"SELECT user_id AS uid, event_type AS stream, seq_num, ts AS time FROM {_STREAM}",
