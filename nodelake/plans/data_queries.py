@@ -29,12 +29,17 @@ def event_rows(spark, sf_dir) -> DataFrame:
 TIES = ("part", "supp", "quantity")
 
 
-def start_stop(spark, sf_dir) -> DataFrame:
+def run_rows(spark, sf_dir) -> DataFrame:
+    """Orders as runs; those with line items have a stop document."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), F.col("o_orderdate").alias("time"), F.to_variant_object(F.struct("o_orderstatus")).alias("doc"))
     counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
     stop = counts.groupBy(F.col("l_orderkey").cast("string").alias("run_start")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("l_linestatus", "n")))).alias("num_events"))
     stop = stop.select("run_start", "num_events", F.to_variant_object(F.struct("run_start")).alias("doc"))
-    found = R.runs(o, stop)
+    return R.runs(o, stop)
+
+
+def start_stop(spark, sf_dir) -> DataFrame:
+    found = run_rows(spark, sf_dir)
     return found.select(F.col("uid").cast("long").alias("uid"), F.col("stop").isNotNull().alias("stopped"), R.cutoff(F.col("num_events")).alias("cutoff"), R.stream_lengths(F.col("num_events"), F.lit("F")).alias("n_f"))
 
 
@@ -220,6 +225,12 @@ def document_lines(spark, sf_dir) -> DataFrame:
     return o.select("o_orderkey", start.alias("line"))
 
 
+def all_document_lines(spark, sf_dir) -> DataFrame:
+    """Start, descriptors and stop of every run; ``part`` is 0, 1 or 2."""
+    keys = descriptor_rows(spark, sf_dir).withColumn("run_start", F.col("run_start").cast("string"))
+    return R.documents(run_rows(spark, sf_dir), keys).select("uid", "rank.part", "rank.stream", "rank.id", "line")
+
+
 def csv_lines(spark, sf_dir) -> DataFrame:
     return sinks.csv_rows(coo_dense(spark, sf_dir), 2, F.col("value").cast("long").cast("string"))
 
@@ -270,6 +281,7 @@ QUERIES = {
     "r_data_column": data_column,
     "r_external_flag": external_flag,
     "s_documents_jsonl": document_lines,
+    "s_documents_all": all_document_lines,
     "s_csv_rows": csv_lines,
     "live_latest": live_batch,
     "live_counts": live_counts,
@@ -318,6 +330,10 @@ FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(n) AS m, max(CASE WHEN l_line
     "r_data_column": f"SELECT user_id AS uid, event_type AS stream, seq_num, json_extract(props, '$.k')::BIGINT AS value FROM {_STREAM}",
     "r_external_flag": "SELECT * FROM (VALUES (1::BIGINT, 'a', 'x', true), (1, 'a', 't', false), (1, 'a', 'u', false)) t(uid, stream, data_key, external)",
     "s_documents_jsonl": """SELECT o_orderkey, '{"name":"start","doc":{"uid":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}' AS line FROM orders""",
+    "s_documents_all": """SELECT o_orderkey::VARCHAR AS uid, 0 AS part, '' AS stream, '' AS id, '{"name":"start","doc":{"o_orderstatus":"' || o_orderstatus || '"}}' AS line FROM orders
+UNION ALL SELECT l_orderkey::VARCHAR, 1, stream, id, '{"name":"descriptor","doc":{"uid":"' || id || '","run_start":"' || l_orderkey || '","name":"' || stream || '","data_keys":{"quantity":{"dtype":"number","shape":[]}}}}'
+FROM (SELECT DISTINCT l_orderkey, l_orderkey || ':' || l_linestatus AS id, CASE WHEN l_linestatus = 'F' THEN 'F' ELSE 'primary' END AS stream FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+UNION ALL SELECT o_orderkey::VARCHAR, 2, '', '', '{"name":"stop","doc":{"run_start":"' || o_orderkey || '"}}' FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
     "s_csv_rows": "SELECT i AS i0, string_agg(coalesce(n_nationkey + 1, 0)::VARCHAR, ',' ORDER BY j) AS line FROM range(0, 25) a(i) CROSS JOIN range(0, 5) b(j) LEFT JOIN nation ON n_nationkey = i AND n_regionkey = j GROUP BY i",
     "live_latest": """SELECT date_trunc('hour', ts) AS window_start, user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2, 3""",
     "live_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -1,5 +1,7 @@
 """Queries that answer for every row of their tables."""
 
+from pyspark.sql import functions as F
+
 from nodelake.plans import registry
 
 SF01 = "/root/testdata/sf0.01"
@@ -9,3 +11,11 @@ def test_strides_reach_every_row(spark):
     n = spark.read.parquet(f"{SF01}/embeddings.parquet").count()
     found = registry.QUERIES["n_strides_all"](spark, SF01)
     assert n > 50 and sorted(r["flat"] for r in found.collect()) == list(range(n * 64))
+
+
+def test_documents_have_all_three_kinds_of_line(spark):
+    found = registry.QUERIES["s_documents_all"](spark, SF01)
+    kinds = {r["kind"]: r["count"] for r in found.groupBy(F.get_json_object("line", "$.name").alias("kind")).count().collect()}
+    orders, items = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("orders", "lineitem"))
+    own = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    assert kinds == {"start": orders.count(), "descriptor": own.select("l_orderkey", "l_linestatus").distinct().count(), "stop": own.select("l_orderkey").distinct().count()}
