@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner products are nearest points once each vector is divided by the largest norm and given
-one more coordinate that fills its length to 1. Each of ``tables`` tables hashes a point by ``cuts``
-random projections, floor((a . x + b) / ``cell``). A query visits its own bucket and then the buckets
+Vectors are hashed by direction, each divided by its own length, so that one long vector does not press
+the others into few buckets. Length decides beside direction which inner products are largest: where
+lengths differ, every query is also compared with the LONGEST longest vectors. Each of ``tables`` tables
+hashes a point by ``cuts`` random projections, floor((a . x + b) / ``cell``). A query visits its own bucket and then the buckets
 next to it, in order of the estimated chance of success: sets of one-step changes by the sum of the
 squared distances to the borders they cross (``probes`` buckets a table). The candidates of all tables
 are merged and ranked by their exact inner products. A query that finds fewer than ``k`` although more
@@ -31,6 +32,7 @@ from nodelake.llm.shared_keys import per_owner
 from nodelake.session import stored
 
 BLOCK = 2048
+LONGEST = 1024
 SENT = "part int, query boolean, id long, vector binary, buckets binary"
 BEST = "query_id long, vec_id long, score double"
 
@@ -63,17 +65,16 @@ def orders(inside: np.ndarray, probes: int) -> list[tuple[tuple[int, int], ...]]
 class Tables:
     """The random projections."""
 
-    def __init__(self, dimension: int, norm: float, tables: int, cuts: int, cell: float, seed: int):
+    def __init__(self, dimension: int, tables: int, cuts: int, cell: float, seed: int):
         rng = np.random.default_rng(seed)
-        self.norm, self.cell = norm, cell
-        self.a, self.b = rng.normal(size=(tables, dimension + 1, cuts)), rng.uniform(0, cell, (tables, 1, cuts))
+        self.cell = cell
+        self.a, self.b = rng.normal(size=(tables, dimension, cuts)), rng.uniform(0, cell, (tables, 1, cuts))
         self.salt = rng.integers(1, 2**63, (tables, cuts), dtype=np.uint64) | np.uint64(1)
 
-    def places(self, v: np.ndarray, query: bool) -> np.ndarray:
+    def places(self, v: np.ndarray) -> np.ndarray:
         """Projections in cells: [table, row, cut]."""
-        x = v / (np.linalg.norm(v, axis=1, keepdims=True) if query else self.norm)
-        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-        return (np.hstack([x, extra[:, None]]) @ self.a + self.b) / self.cell
+        x = v / np.abs(v).max(axis=1, keepdims=True)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True) @ self.a + self.b) / self.cell
 
     def bucket(self, table: int, cells: np.ndarray) -> np.ndarray:
         h = (cells.astype(np.int64).view(np.uint64) * self.salt[table]).sum(axis=-1, dtype=np.uint64)
@@ -116,18 +117,18 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col).withColumn("query", F.coalesce(is_query, F.lit(False))), "vectors")
-    facts = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.max(F.size("v"))).collect()[0]
-    n = facts[0]
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    n, dimension, shortest, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(length), F.max(length)).collect()[0]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashing = spark.sparkContext.broadcast(Tables(facts[2], facts[1], tables, cuts, cell, seed))
+    hashing = spark.sparkContext.broadcast(Tables(dimension, tables, cuts, cell, seed))
     parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     limit = max(4096, n * tables // 10_000)
 
     def count(batches):
         for batch in batches:
             t = hashing.value
-            at = np.floor(t.places(matrix(batch.column("v")), False))
+            at = np.floor(t.places(matrix(batch.column("v"))))
             for i in range(tables):
                 bucket, counts = np.unique(t.bucket(i, at[i]), return_counts=True)
                 yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(counts)], ["bucket", "n"])
@@ -145,7 +146,7 @@ def nearest(
                 part = ((buckets >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
                 out += [(p, query, own, x, b) for p, b in per_owner(part, buckets)]
 
-            at = np.floor(t.places(v, False))
+            at = np.floor(t.places(v))
             own = np.stack([t.bucket(i, at[i]) for i in range(tables)], axis=1)
             for i in range(len(ids)):
                 mine = own[i]
@@ -154,7 +155,7 @@ def nearest(
                 send(False, int(ids[i]), v[i].tobytes(), mine)
             asked = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False))
             if len(asked):
-                place = t.places(v[asked], True)
+                place = t.places(v[asked])
                 for i in range(len(asked)):
                     visited = []
                     for table in range(tables):
@@ -210,6 +211,8 @@ def nearest(
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
     short = rows.where("query").join(enough, "id", "left_anti")
     best = found
+    if longest > shortest * 1.001:
+        best = best.union(against(rows.where("query"), rows.orderBy(F.desc(length), "id").limit(LONGEST), k))
     for block in blocks(short):
         best = best.union(compared(rows, spark.sparkContext.broadcast(block), k))
     rank = F.row_number().over(_by_query())
@@ -235,6 +238,22 @@ def blocks(short: DataFrame):
         yield np.array([b[0] for b in block]), np.array([b[1] for b in block])
 
 
+def against(queries: DataFrame, few: DataFrame, k: int) -> DataFrame:
+    """Each query's best of a few vectors, which are broadcast."""
+    held = few.select("id", "v").collect()
+    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in held]), np.array([r["v"] for r in held])))
+
+    def run(batches):
+        ids, v = shared.value
+        for batch in batches:
+            for own, x in zip(batch.column("id").to_pylist(), matrix(batch.column("v")), strict=True):
+                other = ids != own
+                found, score = best_of(ids[other], v[other], x, k)
+                yield pa.record_batch([pa.array(np.full(len(found), own)), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return queries.select("id", "v").mapInArrow(run, BEST)
+
+
 def compared(rows: DataFrame, block, k: int) -> DataFrame:
     """Each of a block of queries against all rows; the best of each batch."""
 
