@@ -219,6 +219,11 @@ def runs_desc(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_orderstatus")
 
 
+def all_runs_desc(spark, sf_dir) -> DataFrame:
+    """Every run by ``runs.runs``, newest first."""
+    return run_rows(spark, sf_dir).select("uid", "time", "start", "stop")
+
+
 def document_lines(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     start = F.to_json(F.struct(F.lit("start").alias("name"), F.struct(F.col("o_orderkey").alias("uid"), F.col("o_orderstatus").alias("status")).alias("doc")))
@@ -258,6 +263,7 @@ QUERIES = {
     "a_group_streams": group_streams,
     "a_shape_product": shape_product,
     "l_runs_desc": runs_desc,
+    "l_runs_all": all_runs_desc,
     "n_read": matrix,
     "n_block1d": block_1d,
     "n_block2d": block_2d,
@@ -308,6 +314,8 @@ FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(n) AS m, max(CASE WHEN l_line
     "a_shape_product": "SELECT (count(*) * 64)::BIGINT AS elements, (count(*) * 64 * 4)::BIGINT AS nbytes FROM embeddings",
     "l_runs_desc": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20",
     "n_read": f"SELECT i0, i1, value FROM {_MATRIX}",
+    "l_runs_all": """SELECT o_orderkey::VARCHAR AS uid, o_orderdate AS time, '{"o_orderstatus":"' || o_orderstatus || '"}' AS start,
+CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN '{"run_start":"' || o_orderkey || '"}' END AS stop FROM orders ORDER BY o_orderdate DESC, uid""",
     "n_block1d": "SELECT event_id AS i0, value FROM events WHERE event_id >= 3000 AND event_id < 4000",
     "n_block2d": f"SELECT i0, i1, value FROM {_MATRIX} WHERE i0 >= 100 AND i0 < 200 AND i1 >= 32 AND i1 < 48",
     "n_block3d": f"SELECT i0, i1 // 8 - 2 AS i1, i1 % 8 - 1 AS i2, value FROM {_MATRIX} WHERE i0 < 200 AND i1 // 8 >= 2 AND i1 // 8 < 4 AND i1 % 8 >= 1 AND i1 % 8 < 5",

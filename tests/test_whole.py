@@ -19,3 +19,9 @@ def test_documents_have_all_three_kinds_of_line(spark):
     orders, items = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("orders", "lineitem"))
     own = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     assert kinds == {"start": orders.count(), "descriptor": own.select("l_orderkey", "l_linestatus").distinct().count(), "stop": own.select("l_orderkey").distinct().count()}
+
+
+def test_runs_are_all_there_newest_first(spark):
+    found = [(r["time"], r["uid"]) for r in registry.QUERIES["l_runs_all"](spark, SF01).select("time", "uid").collect()]
+    assert len(found) == spark.read.parquet(f"{SF01}/orders.parquet").count() > 20
+    assert [t for t, _ in found] == sorted((t for t, _ in found), reverse=True)
