@@ -9,15 +9,20 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nodelake.errors import Validation
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (a local session, as in tests) a temporary folder is made and set.
+    Where the setting is absent, a local session (as in tests) gets a temporary folder; on a cluster each
+    executor would write to a disk of its own, so there it is an error.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise Validation("spark.checkpoint.dir must name a folder that driver and executors share")
         set_to = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="nodelake-")
         if not known.isDefined():
             spark.sparkContext.setCheckpointDir(set_to)
@@ -25,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let rows of long texts go to Python in batches of a few megabytes, unless the session says otherwise.
+
+    Spark counts rows by default (10,000), so the memory of a worker would follow the length of the texts.
+    """
+    if not spark.sparkContext.getConf().contains(BATCHES):
+        spark.conf.set(BATCHES, "4m")
+
+
 #: With it, Spark deletes the shuffle files of a written table as soon as the table is there.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
