@@ -12,12 +12,16 @@ linked sets lie in both k-extended prefixes (the first n - ceil(similarity * n)
    tokens name (first the most common texts, then drawn ones), and links become components. A token whose classes are all
    in one component is closed; a class with too few open tokens is done. So a group of thousands costs a
    check for each member, not for each pair.
-4. The rest meets exactly: tokens are put in order of frequency, those of one component first, and a
-   class with too many of these is done. In the 2-extended prefix, rare tokens (at most ``frequent``
-   classes) are indexed alone and frequent ones as combinations of two: a linked pair shares a rare one
-   or two frequent ones. Prefixes are as short as the two sizes allow: the smaller set of a pair is
-   indexed under its size class, the larger one looks in each class that it can link to. Pairs of
-   different components that meet, early enough in both for the overlap that their sizes ask, are checked.
+4. What a check found of the first leader stays: a class that has half of its tokens or more in common with
+   its leader belongs to the leader's family, and is known there by the tokens in which the two differ. Of
+   two of one family, |a ^ b| is what is left of both differences once shared ones are taken out, so a
+   linked pair that the rounds left apart shares many of these, rare as they are (``relative_pairs``).
+5. Classes of different families meet by their own tokens: these are put in order of frequency, those of one
+   component or one family first, and a class with too many of these is done. In the 2-extended prefix, rare
+   tokens (at most ``frequent`` classes) are indexed alone and frequent ones as combinations of two: a linked
+   pair shares a rare one or two frequent ones. Prefixes are as short as the two sizes allow: the smaller set
+   of a pair is indexed under its size class, the larger one looks in each class that it can link to. Pairs
+   of different components that meet, early enough in both for the overlap that their sizes ask, are checked.
 
 Every check compares whole sets. Equal sets and members of one component are never expanded to pairs.
 
@@ -41,7 +45,7 @@ from nodelake.llm.components import components
 from nodelake.llm.shared_keys import shared_keys
 from nodelake.llm.suffix_dedup import mixed
 from nodelake.llm.text_stats import let
-from nodelake.session import stored
+from nodelake.session import small_batches, stored
 
 CHUNK = 2_000_000
 #: Sizes of a class of sets differ by this factor at most.
@@ -51,6 +55,9 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 SETS = "owner long, node long, n long, tokens binary"
+RELATED = "a long, b long, na long, nb long, linked boolean, differs binary"
+#: Shingles of the corpus for each bucket of ``shared_keys``.
+BUCKET = 20_000_000
 
 
 def required(n, percent: int):
@@ -124,10 +131,14 @@ def signatures(doc: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarra
     return n, *out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity."""
+def _pairs_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity."""
 
     def check(batches):
         for batch in batches:
@@ -139,7 +150,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    return _pairs_with_sets(pairs, sets).mapInArrow(check, "a long, b long")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """RELATED: for each pair, the sizes, whether the sets reach the similarity, and the tokens of one of the
+    two only (null where these are more than a third of both)."""
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                odd = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(odd)) // 2
+                out.append((len(x), len(y), 100 * both >= percent * (len(x) + len(y) - both), odd.tobytes() if 3 * len(odd) <= len(x) + len(y) else None))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.bool_(), pa.binary()])]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "na", "nb", "linked", "differs"])
+
+    return _pairs_with_sets(pairs, sets).mapInArrow(check, RELATED)
+
+
+def families(met: DataFrame) -> DataFrame:
+    """node, leader, n, leader_n, linked, differs: the classes that are known by how they differ from a leader.
+
+    Leaders are their own family; so is a class of several sets (rows of one doc_id with unequal texts).
+    """
+    sole = met.groupBy("a").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("a")
+    near = met.where("differs is not null").join(sole, "a", "left_semi")
+    near = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    return near.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.col("na").alias("n"), F.col("nb").alias("leader_n"), "linked", "differs")
 
 
 def close_sizes(x: str, y: str, percent: int):
@@ -171,7 +211,7 @@ def star_round(postings: DataFrame, labels: DataFrame | None, percent: int, turn
     rank = F.col("share") if turn == 0 else F.xxhash64("node", F.lit(turn))
     tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("minus"), "node", "n", "label")).alias("leader")).where("lo <> hi").drop("lo", "hi")
     alive = stored(now.join(tokens, "token"), "open-tokens")
-    enough = alive.groupBy("node").agg(F.count(F.lit(1)).alias("open"), F.min("n").alias("n")).where(F.col("open") >= open_needed(percent)).select("node")
+    enough = alive.groupBy("node").agg(F.count(F.lit(1)).alias("open"), F.min("n").alias("n")).where(F.col("open") + 1 >= open_needed(percent)).select("node")  # two tokens may have one code
     alive = alive.join(enough, "node", "left_semi")
     votes = alive.where((F.col("label") != F.col("leader.label")) & close_sizes("n", "leader.n", percent)).groupBy("node", F.col("leader.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("minus"))).alias("best"))
@@ -219,27 +259,62 @@ def keyed_prefixes(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
         return F.concat(as_small, F.flatten(as_large))
 
     both = let(placed, lambda all_: F.concat(rare(all_), let(let(F.filter(all_, lambda t: t["df"] > frequent), pairs), by_class)))
-    return sets.where(closed <= lacks_as_large).select("node", "n", "label", F.inline(both))
+    return sets.where(closed <= lacks_as_large).select("node", "n", "label", "family", F.inline(both))
 
 
-def meeting_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, frequent: int) -> DataFrame:
-    """All pairs of different components that share a rare token or a combination of two frequent ones."""
+def exploded(rows: DataFrame, tokens: str, names: list[str]) -> DataFrame:
+    """A row for each token of a packed column, with the columns ``names`` (longs)."""
 
-    def explode(batches):
+    def run(batches):
         for batch in batches:
-            tokens = [np.frombuffer(t.as_buffer(), "<i8") for t in batch.column("tokens")]
-            yield from spread(["owner", "node", "n"], [batch.column(c).to_numpy() for c in ("owner", "node", "n")], tokens)
+            packed = [np.frombuffer(t.as_buffer(), "<i8") for t in batch.column(tokens)]
+            yield from spread(names, [batch.column(c).to_numpy() for c in names], packed)
 
-    some = sets.join(nodes.select("node").distinct(), "node", "left_semi").select("owner", "node", "n", "tokens")
-    rows = stored(with_labels(some.mapInArrow(explode, "owner long, node long, n long, token long"), labels), "met-tokens")
-    open_ = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "df")
-    ordered = rows.join(open_, "token").groupBy("owner", "node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    return rows.select(*[F.col(c).cast("long").alias(c) for c in names], tokens).mapInArrow(run, "".join(f"{c} long, " for c in names) + "token long")
+
+
+def meeting_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame | None, kin: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """All pairs of different components and families that share a rare token or a combination of two frequent ones."""
+    some = sets.join(nodes.select("node").distinct(), "node", "left_semi")
+    some = with_labels(some, labels).join(kin.select("node", F.col("leader").alias("family")), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    rows = stored(exploded(some, "tokens", ["owner", "node", "n", "label", "family"]), "met-tokens")
+    apart = F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("family").alias("first"), F.max("family").alias("last")
+    open_ = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *apart).where("lo <> hi and first <> last").select("token", "df")
+    ordered = rows.join(open_, "token").groupBy("owner", "node", "n", "label", "family").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     keyed = stored(keyed_prefixes(ordered, percent, frequent), "combinations")
-    x = keyed.where("small").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"))
-    y = keyed.where("large").select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib"))
+    side = lambda name, as_: keyed.where(name).select("token", F.col("node").alias(as_), *[F.col(c).alias(c[0] + as_) for c in ("n", "label", "family")], F.col("at").alias(f"i{as_}"))
     na, nb, both = F.col("na"), F.col("nb"), overlap(F.col("na") + F.col("nb"), percent)
-    met = (F.col("la") != F.col("lb")) & ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.lit(100) * na >= F.lit(percent) * nb) & (F.col("ia") <= na - both) & (F.col("ib") <= nb - both)
-    return x.join(y, "token").where(met).select("a", "b").distinct()
+    met = (F.col("la") != F.col("lb")) & (F.col("fa") != F.col("fb")) & ((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
+    met = met & (F.lit(100) * na >= F.lit(percent) * nb) & (F.col("ia") <= na - both) & (F.col("ib") <= nb - both)
+    return side("small", "a").join(side("large", "b"), "token").where(met).select("a", "b").distinct()
+
+
+def relative_pairs(kin: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one family and different components that differ from their leader in much the same tokens.
+
+    With x and y the numbers of tokens in which a and b differ from their leader and o those they share,
+    |a ^ b| = x + y - 2 o. If a and b link, but are not both linked to the leader, o is 1 at least, and more
+    the larger x and y are. So one of their first x - o + 1 differences is shared, in an order that has those
+    of a single component first and then the rarest. One of the two is never linked to the leader.
+    """
+    names = ["node", "leader", "n", "leader_n", "x", "linked", "label"]
+    rows = with_labels(kin.withColumn("x", F.octet_length("differs") / 8), labels)
+    tokens = stored(exploded(rows, "differs", names), "relative-tokens")
+    open_ = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("leader", "token", "df")
+    ordered = tokens.join(open_, ["leader", "token"]).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    x, whole, rest = F.col("x"), F.lit(100 + percent), F.lit(100 - percent)
+    # Partners of a linked one are not linked themselves, so they differ by more than the sizes allow.
+    least = F.when(F.col("linked") == 1, whole * x + rest * (F.col("leader_n") - F.col("n"))).otherwise(whole * x - rest * (F.col("n") + F.col("leader_n")))
+    least = F.greatest(F.lit(1), F.ceil(least / (2 * whole)))
+    closed = x - F.size("tokens")
+    placed = F.transform(F.slice("tokens", 1, F.greatest(F.lit(0), x - least + 1 - closed).cast("int")), lambda t, i: F.struct(t["token"].alias("token"), (closed + i).alias("at")))
+    keyed = stored(ordered.select("leader", "node", "n", "x", "linked", "label", F.inline(placed)), "relative-prefixes")
+    side = lambda as_: keyed.select("leader", "token", F.col("node").alias(as_), *[F.col(c).alias(f"{c}_{as_}") for c in ("n", "x", "linked", "label", "at")])
+    a, b, total = side("a").where("linked_a = 0"), side("b"), F.col("n_a") + F.col("n_b")
+    shared = F.ceil((F.col("x_a") + F.col("x_b") - total + F.lit(2) * overlap(total, percent)) / F.lit(2))
+    met = (F.col("label_a") != F.col("label_b")) & ((F.col("linked_b") == 1) | (F.col("a") < F.col("b"))) & close_sizes("n_a", "n_b", percent)
+    met = met & (F.col("x_a") - F.col("at_a") >= shared) & (F.col("x_b") - F.col("at_b") >= shared)
+    return a.join(b, ["leader", "token"]).where(met).select("a", "b").distinct()
 
 
 def join_groups(
@@ -260,7 +335,7 @@ def join_groups(
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
 
@@ -272,6 +347,7 @@ def join_groups(
 
     signed = stored(rows.mapInArrow(sign, "doc_id long, key long, n long, owner long, check long"), "shingle-signatures")
     real = signed.where("n > 0 and doc_id is not null")
+    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (real.agg(F.sum("n")).collect()[0][0] or 0) // BUCKET)
     classes = stored(real.groupBy("owner", "check", "n").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("owner", "check", "n", F.col("first.doc_id").alias("node"), F.col("first.key").alias("key")), "shingle-classes")
 
     def prefixes(batch):
@@ -302,13 +378,18 @@ def join_groups(
     chosen = rows.select("key", "text").join(left.select("key", "owner", "node"), "key").dropDuplicates(["key"])
     sets = stored(chosen.select("owner", "node", "text").mapInArrow(gather, SETS), "shingle-sets")
     postings = stored(left.select("node", "n", "keys").mapInArrow(post, "node long, n long, share double, token long"), "shingle-postings")
-    links, labels = None, None
+    links, labels, kin = None, None, None
     for turn in range(rounds):
         postings, pairs = star_round(postings, labels, percent, turn)
-        new = verified(pairs, sets, percent)
+        if turn == 0:
+            met = stored(compared(pairs, sets, percent), "shingle-leaders")
+            kin, new = stored(families(met), "shingle-families"), met.where("linked").select("a", "b").distinct()
+        else:
+            new = verified(pairs, sets, percent)
         links = stored(new if links is None else links.union(new), "shingle-links")
         labels = stored(components(links).select(F.col("node"), F.col("label")), "shingle-labels")
-    links = stored(links.union(verified(meeting_pairs(postings, sets, labels, percent, frequent), sets, percent)), "shingle-links")
+    last = meeting_pairs(postings, sets, labels, kin, percent, frequent).union(relative_pairs(kin, labels, percent))
+    links = stored(links.union(verified(last, sets, percent)), "shingle-links")
     labels = components(links)
     groups = stored(classes.select("owner", "check", "n", "node").join(labels, "node", "left"), "shingle-groups")
     whole = signed.where("doc_id is not null").join(groups, ["owner", "check", "n"], "left")

@@ -2,8 +2,10 @@
 
 Used as the first digit of a join or sort over very many keys: most keys have one owner and are
 closed here, so that only the rest goes on. Keys travel packed (6 bytes each and the owners of a
-batch once), dealt to buckets by their high half; the low half tells keys apart within a bucket. Two
-keys that agree in both only make a candidate that a later exact step refuses.
+batch once), dealt to buckets by their high half; the low half tells keys apart within a bucket (callers
+let the number of buckets follow the size of the corpus, so that a bucket holds some million keys). Two
+keys that agree in both only make a candidate that a later exact step refuses; an owner's keys are
+counted before they are coded.
 
 A key that many owners of one batch share is sent once for the batch, with its count; its owners are
 told at once. So a key that a third of all rows hold costs one record for a batch, in any bucket.
@@ -62,9 +64,10 @@ def shared_keys(rows: DataFrame, keys_of: Keys, buckets: int, hot: int | None =
                     continue
                 known, at = np.unique(owner, return_inverse=True)
                 codes = code(key, buckets)
-                order = np.lexsort((at, codes))
-                codes, at = codes[order], at[order]
-                once = np.concatenate([[True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])])
+                order = np.lexsort((at, key, codes))
+                codes, key, at = codes[order], key[order], at[order]
+                # By the whole key: two keys of one owner with one code count as two.
+                once = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
                 codes, at = codes[once], at[once]
                 cut = runs(codes)
                 counts = np.diff(cut)
