@@ -84,9 +84,14 @@ class Registry:
         return self._aliases.get(family, {}).get(name) or of_extension(name) or name
 
     def negotiate(self, family: str, accept: str | None) -> str | None:
-        """The first accepted type that is registered, else the family's default; weights are not read."""
+        """The first accepted type that is registered or ``*/*``, which is the family's default, as is no match.
+
+        Weights are not read.
+        """
         for part in (accept or "").split(","):
             wanted = part.split(";")[0].strip()
+            if wanted == "*/*":
+                break
             if (family, wanted) in self._by_key:
                 return wanted
         return DEFAULTS.get(family)

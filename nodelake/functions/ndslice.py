@@ -110,6 +110,18 @@ def from_json(items: list) -> tuple[Dim, ...]:
     return tuple(map(one, items))
 
 
+def parse_parameter(text: str) -> tuple[Dim, ...]:
+    """``parse`` of a request's parameter, which may hold neither blanks nor an ellipsis."""
+    if text and not PATTERN.match(text):
+        raise InvalidSlice(f"not a slice: {text!r}")
+    return parse(text)
+
+
+def is_empty(dims: tuple[Dim, ...]) -> bool:
+    """Whether no dimension is named (which picks everything)."""
+    return len(dims) == 0
+
+
 def is_full(dims: tuple[Dim, ...]) -> bool:
     """Whether every dimension is picked whole."""
     return all(d is ELLIPSIS or isinstance(d, Range) and d.start in (None, 0) and d.stop is None and d.step in (None, 1) for d in dims)

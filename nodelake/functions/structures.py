@@ -6,6 +6,8 @@ import base64
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from nodelake.errors import Validation
 from nodelake.functions import dtypes
@@ -76,6 +78,32 @@ def decode_schema(text: str) -> pa.Schema:
     return pa.ipc.read_schema(pa.py_buffer(base64.b64decode(text[len(SCHEMA_PREFIX) :])))
 
 
+def to_json(structure, count: int | None = None) -> dict:
+    """The document of a structure; ``from_json`` reads it back. A container's gives its number of children."""
+    if isinstance(structure, ArrayStructure):
+        resizable = structure.resizable[0] if len(structure.resizable) == 1 else list(structure.resizable)
+        return {"data_type": structure.data_type.to_json(), "chunks": [list(c) for c in structure.chunks], "shape": list(structure.shape), "dims": list(structure.dims) if structure.dims else None, "resizable": resizable}
+    if isinstance(structure, TableStructure):
+        return {"arrow_schema": encode_schema(structure.schema), "npartitions": structure.npartitions, "columns": list(structure.columns), "resizable": False}
+    if isinstance(structure, SparseStructure):
+        kind = structure.data_type.to_json() if structure.data_type else None
+        dims = list(structure.dims) if structure.dims else None
+        return {"shape": list(structure.shape), "chunks": [list(c) for c in structure.chunks], "dims": dims, "resizable": False, "data_type": kind, "coord_data_type": structure.coord_data_type.to_json(), "layout": structure.layout}
+    if isinstance(structure, AwkwardStructure):
+        return {"length": structure.length, "form": structure.form}
+    return {"contents": None, "count": count if count is not None else len(structure or ())}
+
+
+def array_json(kind: Column, shape: Column, dims: Column) -> Column:
+    """The same text for arrays of one chunk a dimension, as a column: ``kind`` is a ``dtype_column``."""
+    one = F.struct(kind.alias("data_type"), F.transform(shape, lambda n: F.array(n)).alias("chunks"), shape.alias("shape"), dims.alias("dims"), F.lit(False).alias("resizable"))
+    return F.to_json(one, {"ignoreNullFields": "false"})
+
+
+def dtype_column(kind: dtypes.DType) -> Column:
+    return F.struct(*[F.lit(v).cast("int" if k == "itemsize" else "string").alias(k) for k, v in kind.to_json().items()])
+
+
 def _grid(chunks, shape) -> tuple[tuple[int, ...], ...]:
     grid = tuple(tuple(int(n) for n in own) for own in chunks)
     if len(grid) != len(shape) or any(sum(own) != n for own, n in zip(grid, shape, strict=True)):

@@ -7,6 +7,7 @@ worked out on the driver; the data is then reached by plain comparisons that Spa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -168,8 +169,9 @@ def slice_blocks(blocks: DataFrame, dims: tuple, structure: ArrayStructure) -> t
 
 
 def write_blocks(blocks: DataFrame, where: str) -> None:
-    """Write blocks as Parquet by path and first block id; blocks there already are replaced by partition."""
-    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path", "b0").parquet(where)
+    """Write blocks as Parquet by path and block id; only blocks of the same ids are replaced."""
+    ids = [c for c in blocks.columns if re.fullmatch(r"b\d+", c)]
+    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path", *ids).parquet(where)
 
 
 def dense(coo: DataFrame, shape: Sequence[int], fill: float = 0.0) -> DataFrame:
@@ -196,6 +198,11 @@ def awkward_elements(lists: DataFrame, value: str) -> DataFrame:
     return lists.select("i0", F.posexplode(value).alias("i1", "value"))
 
 
+def write_awkward(lists: DataFrame, where: str) -> None:
+    """Write nested lists (one a row, with its place ``i0``) as Parquet, in place of what is there."""
+    lists.write.mode("overwrite").parquet(where)
+
+
 def awkward_counts(lists: DataFrame, value: str) -> DataFrame:
     return lists.select("i0", F.coalesce(F.size(value), F.lit(0)).alias("n"))
 

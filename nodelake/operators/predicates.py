@@ -31,7 +31,8 @@ class Context:
     """Where a node table keeps things.
 
     ``scope`` is a key that metadata keys are looked up under (runs keep theirs under ``start``);
-    ``promoted`` maps a metadata key to a plain column with the same values, which is used instead.
+    ``promoted`` maps a metadata key to a plain column with the same values, which is used instead (a null in
+    it is a missing key). Its type counts as the value's: a literal of another one meets nothing.
     """
 
     metadata: str = "metadata"
@@ -111,6 +112,40 @@ def compares(v: Column, operator: str, value: Any) -> Column:
     return v.isNotNull() & F.coalesce(found, F.lit(False))
 
 
+def _of_types(c: Column, names: tuple[str, ...]) -> Column:
+    """Whether a plain column has one of the types; Spark folds this before it reads a row."""
+    return F.regexp_extract(F.typeof(c), r"^[a-z]+", 0).isin(*names)
+
+
+INTEGER_TYPES, FRACTION_TYPES = ("tinyint", "smallint", "int", "bigint"), ("float", "double", "decimal")
+
+
+def promoted_equals(c: Column, value: Any) -> Column:
+    """Whether a plain column equals a JSON value of the same type."""
+    if isinstance(value, bool):
+        return _of_types(c, ("boolean",)) & (c.try_cast("boolean") == value)
+    if isinstance(value, str):
+        return _of_types(c, ("string",)) & (c.cast("string") == value)
+    if isinstance(value, int) and -(2**63) <= value < 2**63:
+        return _of_types(c, INTEGER_TYPES) & (c.try_cast("bigint") == F.lit(value).cast("bigint"))
+    if isinstance(value, (int, float)):
+        return _of_types(c, FRACTION_TYPES) & (c.try_cast("double") == float(value))
+    return F.lit(False)
+
+
+def promoted_compares(c: Column, operator: str, value: Any) -> Column:
+    """Whether a plain column is less, greater, ... than a string or number of the same sort."""
+    put = lambda x, y: {"lt": x < y, "gt": x > y, "le": x <= y, "ge": x >= y}[operator]
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return F.lit(False)
+    if isinstance(value, str):
+        return _of_types(c, ("string",)) & put(c.cast("string"), F.lit(value))
+    if isinstance(value, int) and -(2**63) <= value < 2**63:
+        whole = _of_types(c, INTEGER_TYPES) & put(c.try_cast("bigint"), F.lit(value).cast("bigint"))
+        return whole | (_of_types(c, FRACTION_TYPES) & put(c.try_cast("double"), F.lit(float(value))))
+    return _of_types(c, INTEGER_TYPES + FRACTION_TYPES) & put(c.try_cast("double"), F.lit(float(value)))
+
+
 class Predicate:
     """A condition on the rows of a node table."""
 
@@ -176,7 +211,8 @@ class Like(Predicate):
 
 def _on_string(ctx: Context, key: str, test) -> Column:
     if key in ctx.promoted:
-        return test(F.col(ctx.promoted[key]))
+        c = F.col(ctx.promoted[key])
+        return _of_types(c, ("string",)) & test(c.cast("string"))
     v = ctx.value(key)
     return F.coalesce((_kind(v) == "STRING") & test(ctx.typed(key, "string")), F.lit(False))
 
@@ -188,8 +224,8 @@ class Eq(Predicate):
     name = "eq"
 
     def column(self, ctx):
-        if self.key in ctx.promoted and self.value is not None:
-            return F.col(ctx.promoted[self.key]) == self.value
+        if self.key in ctx.promoted:
+            return promoted_equals(F.col(ctx.promoted[self.key]), self.value)
         v = ctx.value(self.key)
         if isinstance(self.value, bool):
             return (ctx.typed(self.key, "boolean") == self.value) & (_kind(v) == "BOOLEAN")
@@ -224,9 +260,8 @@ class Comparison(Predicate):
             raise Validation(f"no such comparison: {self.operator!r}")
 
     def column(self, ctx):
-        if self.key in ctx.promoted and not isinstance(self.value, bool):
-            c, v = F.col(ctx.promoted[self.key]), F.lit(self.value)
-            return {"lt": c < v, "gt": c > v, "le": c <= v, "ge": c >= v}[self.operator]
+        if self.key in ctx.promoted:
+            return promoted_compares(F.col(ctx.promoted[self.key]), self.operator, self.value)
         if isinstance(self.value, (int, float)) and not isinstance(self.value, bool) and abs(self.value) < 2**53:
             c, v, kind = ctx.typed(self.key, "double"), F.lit(float(self.value)), ctx.value(self.key)
             return {"lt": c < v, "gt": c > v, "le": c <= v, "ge": c >= v}[self.operator] & (_is_integer(kind) | _is_fraction(kind))
@@ -254,8 +289,9 @@ class In(Predicate):
     name = "in"
 
     def column(self, ctx):
-        if self.key in ctx.promoted and None not in self.values:
-            return F.col(ctx.promoted[self.key]).isin(list(self.values))
+        if self.key in ctx.promoted and self.values and all(isinstance(v, str) for v in self.values):
+            c = F.col(ctx.promoted[self.key])
+            return _of_types(c, ("string",)) & c.cast("string").isin(list(self.values))
         return reduce(lambda a, b: a | b, [F.coalesce(Eq(self.key, v).column(ctx), F.lit(False)) for v in self.values], F.lit(False))
 
 
@@ -278,7 +314,7 @@ class KeyPresent(Predicate):
     name = "keypresent"
 
     def column(self, ctx):
-        there = ctx.value(self.key).isNotNull()
+        there = F.col(ctx.promoted[self.key]).isNotNull() if self.key in ctx.promoted else ctx.value(self.key).isNotNull()
         return there if self.exists else ~there
 
 

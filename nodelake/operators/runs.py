@@ -9,23 +9,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodelake.errors import NotFound
+from nodelake.functions import dtypes, structures
 
 PRIMARY = "primary"
 
 
-def runs(run_start: DataFrame, run_stop: DataFrame) -> DataFrame:
-    """Runs with their stop documents (null without one), newest first; empty ids are left out.
+def stopped(run_start: DataFrame, run_stop: DataFrame) -> DataFrame:
+    """Runs with their stop documents (null without one), in no order; empty ids are left out.
 
     Of several stop documents of a run, the one with the least text is taken, so that reruns agree.
     """
-    stop = run_stop.groupBy(F.col("run_start").alias("uid")).agg(F.min(F.struct(F.to_json("doc").alias("text"), F.to_json("num_events").alias("counts"))).alias("stop"))
-    stop = stop.select("uid", F.col("stop.text").alias("stop"), F.from_json("stop.counts", "map<string,bigint>").alias("num_events"))
+    text, counts = F.to_json("doc"), F.to_json("num_events")
+    stop = run_stop.groupBy(F.col("run_start").alias("uid")).agg(F.min(text).alias("stop"), F.min_by("num_events", F.struct(text, counts)).alias("num_events"))
     start = run_start.where(F.col("uid") != "").select("uid", "time", F.to_json("doc").alias("start"))
-    return start.join(stop, "uid", "left").orderBy(F.desc("time"), "uid")
+    return start.join(stop, "uid", "left")
+
+
+def runs(run_start: DataFrame, run_stop: DataFrame) -> DataFrame:
+    """``stopped``, newest first."""
+    return stopped(run_start, run_stop).orderBy(F.desc("time"), "uid")
 
 
 def cutoff(num_events: Column) -> Column:
@@ -109,6 +115,46 @@ def filled(datum_ids: DataFrame, datum: DataFrame, resource: DataFrame, registry
     return registry.fill(resolved(datum_ids.select("datum_id").distinct(), datum, resource))
 
 
+def blocks_of(filled_column: DataFrame) -> DataFrame:
+    """A filled column as blocks of one array for each (uid, stream): one block an event, in order, joined along
+    the first dimension (a value without dimensions counts as one row). The array itself is never in one task."""
+    size = F.when(F.size("shape") > 0, F.get("shape", F.lit(0))).otherwise(F.lit(1).cast("long"))
+    w = Window.partitionBy("uid", "stream").orderBy("seq_num")
+    first = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return filled_column.select("uid", "stream", (F.row_number().over(w) - 1).alias("b0"), first.alias("off0"), "shape", "data")
+
+
+def concatenated(filled_column: DataFrame) -> DataFrame:
+    """(uid, stream, data): the values of a filled column end to end, in order of the events; for columns that
+    one answer may hold (``blocks_of`` for others)."""
+    return pushed(filled_column, ["uid", "stream"], "seq_num", "data", "parts").select("uid", "stream", F.flatten("parts").alias("data"))
+
+
+def column_structures(keys: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(uid, stream, data_key, structure, spec): the array structure, as JSON text, of each column of a stream.
+
+    ``keys`` is what ``data_keys`` gives, ``lengths`` has (uid, stream, n). Every stream has a ``time`` column.
+    """
+    kind = F.lit(None)
+    for declared, own in dtypes.DECLARED.items():
+        kind = F.when(F.col("dtype") == declared, structures.dtype_column(own)).otherwise(kind)
+    kind = F.coalesce(kind, structures.dtype_column(dtypes.of_data_key("number")))
+    inner = F.coalesce("shape", F.array().cast("array<bigint>"))
+    dims = F.concat(F.array(F.lit("time")), F.transform(inner, lambda _, i: F.concat(F.lit("dim_"), i.cast("string"))))
+    data = keys.join(lengths, ["uid", "stream"]).select("uid", "stream", "data_key", structures.array_json(kind, F.concat(F.array("n"), inner), dims).alias("structure"), F.lit("xarray_data_var").alias("spec"))
+    time = structures.array_json(structures.dtype_column(dtypes.of_data_key("number")), F.array("n"), F.array(F.lit("time")))
+    return data.union(lengths.select("uid", "stream", F.lit("time"), time, F.lit("xarray_coord")))
+
+
+def stream_metadata(found: DataFrame) -> DataFrame:
+    """(uid, stream, metadata): {stream_name, descriptors} as JSON text, descriptors by id."""
+    doc = F.to_json(F.struct(F.col("descriptor").alias("uid"), F.col("uid").alias("run_start"), F.col("stream").alias("name"), "data_keys"))
+    listed = found.groupBy("uid", "stream").agg(F.sort_array(F.collect_list(F.struct("descriptor", doc.alias("doc")))).alias("docs"))
+    name = F.to_json(F.struct(F.col("stream").alias("stream_name")))
+    text = F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.lit(',"descriptors":['), F.array_join(F.transform("docs", lambda d: d["doc"]), ","), F.lit("]}"))
+    return listed.select("uid", "stream", text.alias("metadata"))
+
+
 def external_column(event: DataFrame, found: DataFrame, data_key: str, datum: DataFrame, resource: DataFrame, registry, ties: Sequence[str] = ()) -> DataFrame:
     """(uid, stream, seq_num, shape, data) of a data key whose values are datum ids."""
     ids = data_column(event, found, data_key, "string", ties).withColumnRenamed("value", "datum_id").where("datum_id is not null")

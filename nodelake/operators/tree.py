@@ -119,8 +119,28 @@ def node_links(base_url: str = "") -> Column:
     return F.map_concat(F.create_map(F.lit("self"), to("metadata")), by_family)
 
 
-def resources(found: DataFrame, base_url: str = "", fields: Iterable[str] = ("metadata", "structure", "structure_family", "specs", "sorting")) -> DataFrame:
-    """id, attributes (JSON text of the chosen fields and the ancestors) and links of each node."""
+def child_counts(nodes: DataFrame) -> DataFrame:
+    """(parent, n): the number of children of each container that has any."""
+    return nodes.where(F.col("path") != "").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+
+
+def match_count(found: DataFrame) -> DataFrame:
+    """One row: the number of matches of a search."""
+    return found.agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_keys(found: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """The nodes whose key is in a table of keys of any length (``KeysFilter`` is for a few)."""
+    return found.join(keys.select(F.col(key_col).alias("key")), "key", "left_semi")
+
+
+def resources(found: DataFrame, base_url: str = "", fields: Iterable[str] = ("metadata", "structure", "structure_family", "specs", "sorting"), nodes: DataFrame | None = None) -> DataFrame:
+    """id, attributes (JSON text of the chosen fields and the ancestors) and links of each node.
+
+    ``count`` is the number of a container's children, counted in ``nodes`` (left out without it, and for other
+    families); ``data_sources`` is a column of that name, or empty where there is none.
+    """
+    fields = list(fields)
     unknown = set(fields) - set(ENTRY_FIELDS)
     if unknown:
         raise Validation(f"no such fields: {sorted(unknown)}")
@@ -130,9 +150,11 @@ def resources(found: DataFrame, base_url: str = "", fields: Iterable[str] = ("me
         "structure_family": F.col("family"),
         "specs": F.col("specs"),
         "sorting": F.array(F.struct(F.lit("_").alias("key"), F.lit(1).alias("direction"))),
-        "data_sources": F.array().cast("array<string>"),
-        "count": F.lit(None).cast("long"),
+        "data_sources": F.col("data_sources") if "data_sources" in found.columns else F.array().cast("array<string>"),
+        "count": F.when(F.col("family") == "container", F.coalesce("n_children", F.lit(0).cast("long"))) if nodes is not None else F.lit(None).cast("long"),
     }
+    if "count" in fields and nodes is not None:
+        found = found.join(child_counts(nodes).select(F.col("parent").alias("path"), F.col("n").alias("n_children")), "path", "left")
     chosen = [columns[f].alias(f) for f in fields if f in columns]
     return found.select(F.col("key").alias("id"), F.to_json(F.struct(ancestors(F.col("path")).alias("ancestors"), *chosen)).alias("attributes"), node_links(base_url).alias("links"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodelake.functions import media, urlcodec
+from nodelake.functions import dtypes, media, structures, urlcodec
 from nodelake.operators import nodes as N
 from nodelake.operators import predicates as P
 from nodelake.operators import tree as T
@@ -70,11 +70,15 @@ CUSTOMER_SQL = """SELECT r_name || '/' || n_name || '/' || c_name AS path, c_nam
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
-def flagship(spark, sf_dir) -> DataFrame:
-    """Page 2 of the entries under ASIA with segment BUILDING and a balance over 100."""
-    leaves = customers(spark, sf_dir).where(F.col("region") == "ASIA").where(P.all_of(WANTED, PROMOTED))
-    found = T.page(leaves, offset=10, limit=10)
-    return found.select("pos", "path", F.array_join(T.ancestors(F.col("path")), "|").alias("ancestors"), "segment", "balance")
+def flagship(offset: int):
+    """A page of the entries under ASIA with segment BUILDING and a balance over 100."""
+
+    def run(spark, sf_dir) -> DataFrame:
+        leaves = customers(spark, sf_dir).where(F.col("region") == "ASIA").where(P.all_of(WANTED, PROMOTED))
+        found = T.page(leaves, offset=offset, limit=10)
+        return found.select("pos", "path", F.array_join(T.ancestors(F.col("path")), "|").alias("ancestors"), "segment", "balance")
+
+    return run
 
 
 def regex_of_text(pattern: str, case_sensitive: bool):
@@ -112,6 +116,52 @@ def walk(spark, sf_dir) -> DataFrame:
     return whole_tree(spark, sf_dir).where(F.col("path") == T.clean("/ASIA//JAPAN/")).select("path", "key", "family")
 
 
+def node_table(spark, sf_dir) -> DataFrame:
+    """The whole tree with the columns that a resource is made of."""
+    meta = F.to_variant_object(F.struct(F.col("key").alias("name")))
+    return whole_tree(spark, sf_dir).select("*", meta.alias("metadata"), F.lit(None).cast("variant").alias("structure"), F.array().cast(N.SPECS).alias("specs"))
+
+
+def walk_node(spark, sf_dir) -> DataFrame:
+    return T.walk(whole_tree(spark, sf_dir), "/ASIA//NATION_2/").select("path", "key", "family")
+
+
+def search(spark, sf_dir) -> DataFrame:
+    """The children of one nation that meet two predicates."""
+    return T.search(customers(spark, sf_dir), "ASIA/NATION_2", [Key("segment") == "BUILDING", Key("balance") > 100.0], PROMOTED).select("path", "key", "pos")
+
+
+def entries_page(spark, sf_dir) -> DataFrame:
+    """The second page of the children of a region: resources, and the number of matches."""
+    found, count, links = T.entries(node_table(spark, sf_dir), "ASIA", offset=2, limit=2, base_url="http://x")
+    return found.select("id", F.get_json_object("attributes", "$.metadata.name").alias("name"), F.col("links")["search"].alias("link"), F.lit(count).cast("long").alias("n"), F.lit(links["last"]).alias("last"))
+
+
+def entry_counts(spark, sf_dir) -> DataFrame:
+    """The ``count`` field of every node but the root: children of containers, null for others."""
+    nodes = node_table(spark, sf_dir)
+    found = T.resources(nodes, fields=("count", "data_sources"), nodes=nodes)
+    return found.select("id", F.get_json_object("attributes", "$.count").cast("long").alias("n"), F.get_json_object("attributes", "$.data_sources").alias("sources"))
+
+
+def counts_of_children(spark, sf_dir) -> DataFrame:
+    return T.child_counts(whole_tree(spark, sf_dir))
+
+
+def long_keys(spark, sf_dir) -> DataFrame:
+    """Customers named in a table of keys: those with a finished order."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    keys = table(spark, sf_dir, "customer").join(o, "c_custkey", "left_semi").select(F.col("c_name").alias("key"))
+    return T.with_keys(customers(spark, sf_dir), keys).select("path", "key", "pos")
+
+
+def array_structures(spark, sf_dir) -> DataFrame:
+    """The structure of each embedding, written as JSON and read back on the driver's side in tests."""
+    kind = structures.dtype_column(dtypes.DType.parse("<f4"))
+    shape = F.array(F.size("embedding").cast("long"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", structures.array_json(kind, shape, F.array(F.lit("x"))).alias("doc"))
+
+
 def children(spark, sf_dir) -> DataFrame:
     return T.children(whole_tree(spark, sf_dir), "ASIA").select("key", "pos")
 
@@ -164,7 +214,10 @@ def aliases(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "q_flagship": flagship,
+    "q_flagship": flagship(10),
+    "q_flagship_first": flagship(0),
+    "q_search": search,
+    "q_keys_long": long_keys,
     "q_fulltext": _docs(P.FullText("the"), TEXT),
     "q_lookup": _customers(P.Lookup("Customer#000000007")),
     "q_keys_filter": _customers(P.KeysFilter(("Customer#000000001", "Customer#000000002", "Customer#000000999"))),
@@ -193,6 +246,10 @@ QUERIES = {
     "q_url_decode": url_decode,
     "t_paths": paths,
     "t_walk": walk,
+    "t_walk_node": walk_node,
+    "t_entries_page": entries_page,
+    "t_entry_counts": entry_counts,
+    "t_child_counts": counts_of_children,
     "t_children": children,
     "t_count": child_counts,
     "t_subtree": subtree,
@@ -203,6 +260,7 @@ QUERIES = {
     "t_entries_meta": match_count,
     "l_sorted_page": sorted_page,
     "p_struct_json": struct_json,
+    "p_array_structure": array_structures,
     "s_alias": aliases,
 }
 
@@ -217,6 +275,18 @@ ORACLES = {
     "q_flagship": """SELECT c_custkey AS pos, r_name || '/' || n_name || '/' || c_name AS path, '|' || r_name || '|' || r_name || '/' || n_name AS ancestors, c_mktsegment AS segment, c_acctbal AS balance
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name = 'ASIA' AND c_mktsegment = 'BUILDING' AND c_acctbal > 100 ORDER BY c_custkey LIMIT 10 OFFSET 10""",
+    "q_flagship_first": """SELECT c_custkey AS pos, r_name || '/' || n_name || '/' || c_name AS path, '|' || r_name || '|' || r_name || '/' || n_name AS ancestors, c_mktsegment AS segment, c_acctbal AS balance
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name = 'ASIA' AND c_mktsegment = 'BUILDING' AND c_acctbal > 100 ORDER BY c_custkey LIMIT 10""",
+    "q_search": f"{CUSTOMER_SQL} WHERE r_name = 'ASIA' AND n_name = 'NATION_2' AND c_mktsegment = 'BUILDING' AND c_acctbal > 100",
+    "q_keys_long": f"{CUSTOMER_SQL} WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
+    "t_walk_node": f"SELECT path, key, family FROM {_TREE} WHERE path = 'ASIA/NATION_2'",
+    "t_entries_page": f"""SELECT key AS id, key AS name, 'http://x/api/v1/search/' || path AS link, n, 'http://x/api/v1/search/ASIA?page[offset]=' || (n - 1) // 2 * 2 || '&page[limit]=2' AS last
+FROM (SELECT *, count(*) OVER () AS n FROM {_TREE} WHERE parent = 'ASIA') ORDER BY pos LIMIT 2 OFFSET 2""",
+    "t_entry_counts": f"""SELECT key AS id, CASE family WHEN 'container' THEN coalesce(n, 0) END AS n, '[]' AS sources
+FROM {_TREE} LEFT JOIN (SELECT parent AS p, count(*) AS n FROM {_TREE} GROUP BY parent) c ON p = path""",
+    "t_child_counts": f"SELECT parent, count(*) AS n FROM {_TREE} GROUP BY parent",
+    "p_array_structure": """SELECT vec_id, '{"data_type":{"endianness":"little","kind":"f","itemsize":4,"dt_units":null},"chunks":[[' || len(embedding) || ']],"shape":[' || len(embedding) || '],"dims":["x"],"resizable":false}' AS doc FROM embeddings""",
     "q_fulltext": "SELECT doc_id FROM documents WHERE contains(text, 'the')",
     "q_lookup": f"{CUSTOMER_SQL} WHERE c_name = 'Customer#000000007'",
     "q_keys_filter": f"{CUSTOMER_SQL} WHERE c_name IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000999')",

@@ -29,17 +29,17 @@ def event_rows(spark, sf_dir) -> DataFrame:
 TIES = ("part", "supp", "quantity")
 
 
-def run_rows(spark, sf_dir) -> DataFrame:
+def run_rows(spark, sf_dir, of=R.runs) -> DataFrame:
     """Orders as runs; those with line items have a stop document."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), F.col("o_orderdate").alias("time"), F.to_variant_object(F.struct("o_orderstatus")).alias("doc"))
     counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
     stop = counts.groupBy(F.col("l_orderkey").cast("string").alias("run_start")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("l_linestatus", "n")))).alias("num_events"))
     stop = stop.select("run_start", "num_events", F.to_variant_object(F.struct("run_start")).alias("doc"))
-    return R.runs(o, stop)
+    return of(o, stop)
 
 
 def start_stop(spark, sf_dir) -> DataFrame:
-    found = run_rows(spark, sf_dir)
+    found = run_rows(spark, sf_dir, R.stopped)
     return found.select(F.col("uid").cast("long").alias("uid"), F.col("stop").isNotNull().alias("stopped"), R.cutoff(F.col("num_events")).alias("cutoff"), R.stream_lengths(F.col("num_events"), F.lit("F")).alias("n_f"))
 
 
@@ -240,6 +240,49 @@ def csv_lines(spark, sf_dir) -> DataFrame:
     return sinks.csv_rows(coo_dense(spark, sf_dir), 2, F.col("value").cast("long").cast("string"))
 
 
+def csv_cells(spark, sf_dir) -> DataFrame:
+    """The default text of the cells, halved so that some have a fraction."""
+    return sinks.csv_rows(coo_dense(spark, sf_dir).withColumn("value", F.col("value") / 2), 2)
+
+
+def block_3d(spark, sf_dir) -> DataFrame:
+    """Embeddings as a cube, cut into blocks; one is read back."""
+    shape, chunk = (rows_of(spark, sf_dir), 8, 8), (100, 4, 8)
+    cells = matrix(spark, sf_dir).select("i0", F.floor(F.col("i1") / 8).cast("long").alias("i1"), (F.col("i1") % 8).alias("i2"), "value")
+    blocks = A.to_blocks(cells, "cube", shape, chunk)
+    return A.cells(A.read_block(blocks, "cube", ArrayStructure(None, A.grid(shape, chunk), shape), (1, 1, 0)), 3)
+
+
+def column_structures(spark, sf_dir) -> DataFrame:
+    """Structures of a number, an image and the time of every stream of events."""
+    found = stream_descriptors(spark, sf_dir)
+    key = lambda dtype, shape: F.struct(F.lit(dtype).alias("dtype"), F.array(*map(F.lit, shape)).cast("array<bigint>").alias("shape"), F.lit(None).cast("string").alias("external"))
+    keyed = found.withColumn("data_keys", F.create_map(F.lit("k"), key("integer", []), F.lit("image"), key("array", [2, 3]), F.lit("on"), key("boolean", [])))
+    lengths = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("uid"), F.col("event_type").alias("stream")).agg(F.count(F.lit(1)).alias("n"))
+    return R.column_structures(R.data_keys(keyed), lengths)
+
+
+def stream_documents(spark, sf_dir) -> DataFrame:
+    keys = descriptor_rows(spark, sf_dir)
+    return R.stream_metadata(R.descriptors(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid")), keys))
+
+
+def filled_rows(spark, sf_dir) -> DataFrame:
+    """Embeddings as values that were read from files: a run for each label."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").alias("uid"), F.lit("s").alias("stream"), F.col("vec_id").alias("seq_num"), F.array(F.size("embedding").cast("long")).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+
+
+def filled_column(spark, sf_dir) -> DataFrame:
+    data = F.col("data")
+    found = R.concatenated(filled_rows(spark, sf_dir))
+    return found.select("uid", F.size(data).cast("long").alias("n"), F.get(data, F.lit(0)).alias("first"), F.element_at(data, -1).alias("last"))
+
+
+def filled_blocks(spark, sf_dir) -> DataFrame:
+    return R.blocks_of(filled_rows(spark, sf_dir)).select("uid", F.col("b0").cast("long").alias("b0"), "off0", F.get("data", F.lit(0)).alias("first"))
+
+
 def live_batch(spark, sf_dir) -> DataFrame:
     """The streaming rule on a table: the last event of each user and type in an hour."""
     e = table(spark, sf_dir, "events")
@@ -268,6 +311,7 @@ QUERIES = {
     "n_block1d": block_1d,
     "n_block2d": block_2d,
     "n_block3d": sliced("0:200,2:4,1:5", (8, 8)),
+    "n_block3d_read": block_3d,
     "n_blocks_read": blocks_read,
     "n_blocks_slice": blocks_slice,
     "n_slice_step": sliced("10:200:7,::3"),
@@ -286,9 +330,14 @@ QUERIES = {
     "r_time_column": time_column,
     "r_data_column": data_column,
     "r_external_flag": external_flag,
+    "r_column_structures": column_structures,
+    "r_stream_metadata": stream_documents,
+    "r_filled_column": filled_column,
+    "r_filled_blocks": filled_blocks,
     "s_documents_jsonl": document_lines,
     "s_documents_all": all_document_lines,
     "s_csv_rows": csv_lines,
+    "s_csv_cells": csv_cells,
     "live_latest": live_batch,
     "live_counts": live_counts,
 }
@@ -319,6 +368,14 @@ CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN '{"
     "n_block1d": "SELECT event_id AS i0, value FROM events WHERE event_id >= 3000 AND event_id < 4000",
     "n_block2d": f"SELECT i0, i1, value FROM {_MATRIX} WHERE i0 >= 100 AND i0 < 200 AND i1 >= 32 AND i1 < 48",
     "n_block3d": f"SELECT i0, i1 // 8 - 2 AS i1, i1 % 8 - 1 AS i2, value FROM {_MATRIX} WHERE i0 < 200 AND i1 // 8 >= 2 AND i1 // 8 < 4 AND i1 % 8 >= 1 AND i1 % 8 < 5",
+    "n_block3d_read": f"SELECT i0, i1 // 8 AS i1, i1 % 8 AS i2, value FROM {_MATRIX} WHERE i0 >= 100 AND i0 < 200 AND i1 // 8 >= 4",
+    "r_column_structures": """SELECT user_id AS uid, event_type AS stream, data_key, '{"data_type":{"endianness":"' || o || '","kind":"' || kind || '","itemsize":' || size || ',"dt_units":null},"chunks":[[' || n || ']' || more || '],"shape":[' || n || rest || '],"dims":["time"' || dims || '],"resizable":false}' AS structure, spec
+FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), (VALUES ('k', 'little', 'f', 8, '', '', '', 'xarray_data_var'), ('image', 'little', 'f', 8, ',[2],[3]', ',2,3', ',"dim_0","dim_1"', 'xarray_data_var'), ('on', 'not_applicable', 'b', 1, '', '', '', 'xarray_data_var'), ('time', 'little', 'f', 8, '', '', '', 'xarray_coord')) k(data_key, o, kind, size, more, rest, dims, spec)""",
+    "r_stream_metadata": """SELECT l_orderkey AS uid, stream, '{"stream_name":"' || stream || '","descriptors":[' || string_agg('{"uid":"' || id || '","run_start":' || l_orderkey || ',"name":"' || stream || '","data_keys":{"quantity":{"dtype":"number","shape":[]}}}', ',' ORDER BY id) || ']}' AS metadata
+FROM (SELECT DISTINCT l_orderkey, l_orderkey || ':' || l_linestatus AS id, CASE WHEN l_linestatus = 'F' THEN 'F' ELSE 'primary' END AS stream FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY l_orderkey, stream""",
+    "r_filled_column": "SELECT label AS uid, (count(*) * 64)::BIGINT AS n, arg_min(embedding[1]::DOUBLE, vec_id) AS first, arg_max(embedding[64]::DOUBLE, vec_id) AS last FROM embeddings GROUP BY label",
+    "r_filled_blocks": "SELECT label AS uid, row_number() OVER w - 1 AS b0, (row_number() OVER w - 1) * 64 AS off0, embedding[1]::DOUBLE AS first FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)",
+    "s_csv_cells": "SELECT i AS i0, string_agg(regexp_replace((coalesce(n_nationkey + 1, 0) / 2)::VARCHAR, '\\.0$', ''), ',' ORDER BY j) AS line FROM range(0, 25) a(i) CROSS JOIN range(0, 5) b(j) LEFT JOIN nation ON n_nationkey = i AND n_regionkey = j GROUP BY i",
     "n_blocks_read": f"SELECT i0, i1, value FROM {_MATRIX} WHERE i0 >= 200 AND i0 < 300 AND i1 >= 48",
     "n_blocks_slice": f"SELECT (i0 - 120) // 7 AS i0, i1 - 59 AS i1, value FROM {_MATRIX} WHERE i0 >= 120 AND i0 < 310 AND (i0 - 120) % 7 = 0 AND i1 >= 59",
     "n_slice_step": f"SELECT (i0 - 10) // 7 AS i0, i1 // 3 AS i1, value FROM {_MATRIX} WHERE i0 >= 10 AND i0 < 200 AND (i0 - 10) % 7 = 0 AND i1 % 3 = 0",

@@ -68,6 +68,11 @@ def _number(key: str, default: int = 0) -> Column:
     return F.coalesce(F.try_variant_get("datum_kwargs", f'$["{key}"]', "bigint"), F.lit(default).cast("long"))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without its scheme and host, and with single slashes."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", ""), "/+", "/")
+
+
 def sequence_path() -> Column:
     """``<root>/<path>_<index>.npy``; the index is ``index``, else ``point_number``, else 0."""
     at = F.coalesce(F.try_variant_get("datum_kwargs", '$["index"]', "bigint"), _number("point_number"))
@@ -105,12 +110,11 @@ class Handlers:
 
     def fill(self, resolved: DataFrame) -> DataFrame:
         """(datum_id, shape, data): every datum's file decoded by its spec's handler."""
-        specs = [r[0] for r in resolved.select("spec").distinct().limit(1000).collect()]
-        unknown = [s for s in specs if s not in self._by_spec]
+        unknown = resolved.where(~F.coalesce(F.col("spec").isin(self.specs()), F.lit(False))).select("spec").limit(5).collect()
         if unknown:
-            raise Validation(f"no handler for {unknown}")
+            raise Validation(f"no handler for {sorted({str(r[0]) for r in unknown})}")
         out = None
-        for spec in sorted(specs):
+        for spec in sorted(r[0] for r in resolved.select("spec").distinct().collect()):  # registered ones only
             path, decode, library = self._by_spec[spec]
             if library:
                 needs(library)
@@ -122,17 +126,20 @@ class Handlers:
         return out
 
     def _files(self, own: DataFrame) -> DataFrame:
-        paths = [r[0] for r in own.select("path").distinct().toLocalIterator()]
-        return own.sparkSession.read.format("binaryFile").load(paths).select("content", F.regexp_replace("path", "^file:/+", "/").alias("path"))
+        """(path, content) of the files in the folders of ``own``: Spark lists and reads them; the driver sees
+        the names of the folders only. Files that no datum names go in the join."""
+        folders = [r[0] for r in own.select(F.regexp_extract("path", r"^(.*/)[^/]*$", 1)).distinct().collect()]
+        return own.sparkSession.read.format("binaryFile").load(folders).select("content", plain_path(F.col("path")).alias("path"))
 
     def _read(self, own: DataFrame, decode) -> DataFrame:
-        arrays = _decoded(self._files(own), decode)
-        return own.select("datum_id", F.regexp_replace("path", "^file:/+", "/").alias("path")).join(arrays, "path").select("datum_id", "shape", "data")
+        named = own.select(plain_path(F.col("path")).alias("path")).distinct()
+        arrays = _decoded(self._files(own).join(named, "path", "left_semi"), decode)
+        return own.select("datum_id", plain_path(F.col("path")).alias("path")).join(arrays, "path").select("datum_id", "shape", "data")
 
     def _read_frames(self, own: DataFrame) -> DataFrame:
         """Points of stacked files: ``frame_per_point`` frames from ``point_number`` times that on."""
         per = F.coalesce(F.try_variant_get("resource_kwargs", '$["frame_per_point"]', "bigint"), F.lit(1).cast("long"))
-        points = own.select("datum_id", "path", (_number("point_number") * per).alias("start"), per.alias("count"))
+        points = own.select("datum_id", plain_path(F.col("path")).alias("path"), (_number("point_number") * per).alias("start"), per.alias("count"))
 
         def run(batches):
             for batch in batches:

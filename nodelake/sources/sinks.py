@@ -26,15 +26,31 @@ def array_bytes(block: DataFrame, kind: str = "<f8") -> bytes:
 
 
 def sparse_bytes(cells: DataFrame, ndim: int) -> bytes:
-    """Coordinates and values of one block of a sparse array as an Arrow file."""
+    """One block of a sparse array: the coordinates of each dimension (``<u8``), then the values (``<f8``)."""
+    keys = [f"i{d}" for d in range(ndim)]
+    found = cells.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("value").cast("double").alias("value")).orderBy(*keys).toArrow()
+    return b"".join(found.column(c).to_numpy().astype("<f8" if c == "value" else "<u8").tobytes() for c in [*keys, "value"])
+
+
+def sparse_file(cells: DataFrame, ndim: int) -> bytes:
+    """The same as an Arrow file."""
     return table_bytes(cells.select(*[f"i{d}" for d in range(ndim)], "value").orderBy(*[f"i{d}" for d in range(ndim)]))
 
 
 def number_text(value: Column) -> Column:
-    """Shortest plain text of a double: no exponent, no trailing zeros (1 for 1.0)."""
-    plain = F.format_string("%s", value.cast("decimal(38,10)"))
+    """Shortest plain text of a double: no exponent, no trailing zeros (1 for 1.0); null for null."""
+    text = value.cast("double").cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$", k)
+    digits = F.concat(part(2), part(3))
+    point = (F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))).cast("int")
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
     trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(trimmed)
+    trimmed = F.regexp_replace(trimmed, r"^0+(?=\d)", "")
+    return F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(F.concat(part(1), trimmed))
 
 
 def csv_rows(cells: DataFrame, ndim: int, text: Column | None = None) -> DataFrame:
@@ -69,5 +85,6 @@ def default_registry() -> media.Registry:
     registry.register("array", media.OCTET_STREAM, array_bytes)
     registry.register("array", media.CSV, csv_rows)
     registry.register("sparse", media.OCTET_STREAM, sparse_bytes)
+    registry.register("sparse", media.ARROW_FILE, sparse_file)
     registry.register("table", media.ARROW_FILE, table_bytes)
     return registry

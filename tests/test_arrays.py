@@ -1,7 +1,11 @@
+import json
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nodelake.errors import InvalidDType, InvalidSlice, Unsupported, Validation
 from nodelake.functions import dtypes, ndslice, structures
@@ -124,3 +128,30 @@ def test_structures():
     for family, bad in (("array", {"shape": [1]}), ("array", {"data_type": f8, "shape": [3], "chunks": [[2]]}), ("nope", {}), ("table", {"arrow_schema": "x", "npartitions": 1, "columns": []})):
         with pytest.raises(Validation):
             structures.from_json(family, bad)
+
+
+def test_writing_one_block_keeps_its_neighbours(spark, tmp_path):
+    where = str(tmp_path / "g")
+    A.write_blocks(A.ramp(spark, "x", (4, 4), 1.0, (2, 2)), where)
+    A.write_blocks(A.ramp(spark, "x", (4, 4), 10.0, (2, 2)).where("b0 = 1 and b1 = 1"), where)
+    got = {(r["b0"], r["b1"]): r["data"][0] for r in spark.read.parquet(where).collect()}
+    assert got == {(0, 0): 0.0, (0, 1): 2.0, (1, 0): 8.0, (1, 1): 100.0}
+
+
+def test_slice_parameters():
+    assert ndslice.parse_parameter("1:3,4") == ndslice.parse("1:3, 4") and ndslice.is_empty(ndslice.parse_parameter("")) and not ndslice.is_empty(ndslice.parse(":"))
+    for bad in ("1:3, 4", "...", "x"):
+        with pytest.raises(InvalidSlice):
+            ndslice.parse_parameter(bad)
+
+
+def test_structures_are_written_and_read_back(spark):
+    kind = dtypes.DType.parse("<f8")
+    for family, own in (
+        ("array", structures.ArrayStructure(kind, ((2, 1), (4,)), (3, 4), ("x", "y"))), ("table", structures.TableStructure(pa.schema([("a", pa.int64())]), 2, ("a",))),
+        ("sparse", structures.SparseStructure((3,), ((3,),), None, kind)), ("awkward", structures.AwkwardStructure(4, {"class": "NumpyForm"})),
+    ):
+        assert structures.from_json(family, json.loads(json.dumps(structures.to_json(own)))) == own
+    assert structures.to_json(None, 5) == {"contents": None, "count": 5}
+    row = spark.range(1).select(structures.array_json(structures.dtype_column(kind), F.array(F.lit(3).cast("long")), F.array(F.lit("x"))).alias("d")).collect()[0]
+    assert structures.from_json("array", json.loads(row["d"])) == structures.ArrayStructure(kind, ((3,),), (3,), ("x",))

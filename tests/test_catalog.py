@@ -126,6 +126,7 @@ def test_media_and_about(spark):
     assert media.of_extension(".H5") == media.HDF5 and media.of_extension("nope") is None
     r = sinks.default_registry()
     assert r.negotiate("array", "text/html, text/csv;q=0.1, */*") == media.CSV
+    assert r.negotiate("array", "*/*, text/csv") == media.OCTET_STREAM
     assert r.negotiate("array", "*/*") == media.OCTET_STREAM and r.negotiate("table", None) == media.ARROW_FILE and r.negotiate("container", None) is None
     r.register_alias("array", "raw", media.OCTET_STREAM)
     assert r.resolve_alias("array", "raw") == media.OCTET_STREAM and r.resolve_alias("array", "csv") == media.CSV and r.aliases()["array"]
@@ -142,3 +143,13 @@ def test_typed_comparison_is_pushed_down(spark, tmp_path):
     assert "EqualTo(n,1)" in plan and "Python" not in plan
     plan = stored.where(P.all_of([Key("n") == 1])).select("path")._jdf.queryExecution().toString()
     assert "EqualTo(metadata." in plan, plan
+
+
+def test_promoted_columns_keep_their_types(spark):
+    frame = spark.createDataFrame([(1, "x", 1.0, True), (5, "y", 2.5, False), (None, None, None, None)], "n long, s string, f double, b boolean")
+    ctx = Context(promoted={k: k for k in "nsfb"})
+    n = lambda *p: frame.where(P.all_of(p, ctx)).count()
+    assert [n(Key("n") == 1), n(Key("n") == "x"), n(Key("n") == 1.0), n(Key("f") == 1), n(Key("f") == 1.0), n(Key("s") == 1), n(Key("b") == True), n(Key("b") == 1)] == [1, 0, 0, 0, 1, 0, 1, 0]  # noqa: E712
+    assert [n(Key("n") > "a"), n(Key("n") > 1), n(Key("n") >= 0.5), n(Key("f") > 1), n(Key("s") > "x"), n(Key("s") > 3), n(Key("n") > True)] == [0, 1, 2, 1, 1, 0, 0]
+    assert [n(P.In("n", (1, "x"))), n(P.In("s", ("x", "z"))), n(P.In("n", ("x",))), n(P.NotIn("n", (1,))), n(Key("n") != 1), n(Key("n") == None)] == [1, 1, 0, 2, 2, 0]  # noqa: E711
+    assert [n(P.KeyPresent("n")), n(P.KeyPresent("n", False)), n(P.Regex("n", "1")), n(P.Like("s", "x%"))] == [2, 1, 0, 1]

@@ -126,7 +126,9 @@ def test_sinks(spark, tmp_path):
     assert pa.ipc.open_file(io.BytesIO(sinks.table_bytes(spark.range(3)))).read_all().num_rows == 3
     sinks.write_json_lines(sinks.json_lines(spark.range(2)), str(tmp_path / "j"), "gzip")
     assert rows(spark.read.json(str(tmp_path / "j"))) == [(0,), (1,)]
-    assert pa.ipc.open_file(io.BytesIO(sinks.sparse_bytes(A.cells(blocks, 2), 2))).read_all().num_rows == 6
+    assert pa.ipc.open_file(io.BytesIO(sinks.sparse_file(A.cells(blocks, 2), 2))).read_all().num_rows == 6
+    packed = sinks.sparse_bytes(A.cells(blocks, 2), 2)
+    assert np.frombuffer(packed[:96], "<u8").tolist() == [0, 0, 0, 1, 1, 1, 0, 1, 2, 0, 1, 2] and np.frombuffer(packed[96:], "<f8").tolist() == [0, 0.5, 1, 1.5, 2, 2.5]
     with pytest.raises(NotFound):
         sinks.array_bytes(blocks.limit(0))
 
@@ -139,3 +141,21 @@ def test_live_stream_agrees_with_the_table(spark, tmp_path):
     query = live.latest(stream, ["k"], "t", ["v"]).writeStream.outputMode("update").format("memory").queryName("latest_live").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert rows(spark.table("latest_live").select("k", "v")) == rows(live.latest(table, ["k"], "t", ["v"]).select("k", "v")) == [("a", 2), ("b", 3)]
+
+
+def test_number_text(spark):
+    given = {0.0: "0", 1e-12: "0.000000000001", 1e30: "1" + "0" * 30, 0.1: "0.1", 123456.789: "123456.789", -1.5: "-1.5", 100.0: "100", 1.5e-5: "0.000015", 1.25e10: "12500000000", float("inf"): "inf", float("-inf"): "-inf"}
+    frame = spark.createDataFrame([(k,) for k in [*given, -0.0, float("nan"), None]], "v double")
+    assert [r[0] for r in frame.select(sinks.number_text(F.col("v"))).collect()] == [*given.values(), "-0", "NaN", None]
+
+
+def test_blocks_of_filled_values(spark):
+    filled = spark.createDataFrame([("r", "s", 2, [1, 2], [3.0, 4.0]), ("r", "s", 1, [2, 2], [0.0, 0.5, 1.0, 2.0]), ("q", "s", 1, [], [7.0])], "uid string, stream string, seq_num long, shape array<bigint>, data array<double>")
+    assert rows(R.concatenated(filled)) == [("q", "s", [7.0]), ("r", "s", [0.0, 0.5, 1.0, 2.0, 3.0, 4.0])]
+    assert rows(R.blocks_of(filled).select("uid", "b0", "off0")) == [("q", 0, 0), ("r", 0, 0), ("r", 1, 2)]
+
+
+def test_unknown_specs_are_an_error(spark):
+    many = spark.range(1200).select(F.col("id").cast("string").alias("datum_id"), F.concat(F.lit("spec"), "id").alias("spec"))
+    with pytest.raises(Validation):
+        files.Handlers().fill(many)
