@@ -20,19 +20,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5
 
 
-def whole_rows(docs: DataFrame) -> DataFrame:
-    """The id, text, language and source, and the row itself as one column."""
-    return docs.select("doc_id", "text", "lang", "source", F.struct(*COLUMNS).alias("row"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; a null text, or one without a letter, goes."""
-    found = language_id.identify(whole_rows(docs), public_tokenizers.path("piece_bpe_32k.model"), keep=("row",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found = language_id.identify(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=tuple(COLUMNS))
+    given = found.columns[4:]
+    kept = found.toDF("id", "held_out", "lang_pred", "score", *given).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked documents (and rows without an id)."""
+    """Keeps the document with the least id of each group of linked documents (and rows without an id).
+
+    Of several rows of that id the least (by text, then the other columns) stays.
+    """
     groups = ngram_join.join_groups(docs.select("doc_id", "text"), width=5, percent=80)
     first = groups.where("component_id = doc_id").select("doc_id").distinct()
     one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
@@ -48,7 +48,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and forms get slightly evened shares of the tokens."""
-    return mixing.sample(whole_rows(docs), temper=0.95, keep=("row",)).where("kept").select("row.*")
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*COLUMNS).alias("row"))
+    return mixing.sample(rows, temper=0.95, keep=("row",)).where("kept").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
