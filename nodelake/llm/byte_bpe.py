@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodelake.session import small_batches
+
 #: Texts of these characters are cut by QUICK; others by the full pattern.
 SAFE = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7eÀ-ɏ–—‘-„…]*\\Z")
-CACHE = 200_000
+#: Pieces and pairs of entries that a worker remembers, at most (some 150 MB).
+CACHE, PAIRS = 150_000, 400_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS = "doc_id long, ids array<int>"
 
@@ -104,7 +107,7 @@ class Merges:
                 before, x = x, self.right[x]
             else:
                 before, y = y + 1, self.left[y]
-        if len(self.known) >= 1_000_000:
+        if len(self.known) >= PAIRS:
             self.known.clear()
         self.known[a, b] = stands
         return stands
@@ -189,6 +192,7 @@ def _encoder(shared, vocabulary: str, pattern: str) -> Encoder:
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
