@@ -66,6 +66,39 @@ def test_groups_against_brute_force(spark, frequent, rounds):
     assert rows(ngram_join.join_groups(frame, frequent=frequent, rounds=rounds, buckets=5)) == groups(data)
 
 
+def cousins(seed, members, base=220):
+    """Texts made from one that is not among them, each with so many edits that few of them link."""
+    r = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    root, out = [r.choice(vocabulary) for _ in range(base)], []
+    for i in range(members):
+        words = root[:]
+        for at in r.sample(range(base), r.choice([1, 2, 3, 3, 4, 4, 5, 6])):
+            words[at] = r.choice(vocabulary)
+        out.append((i + 1, " ".join(words)))
+    return out
+
+
+def test_pairs_of_a_family_do_not_grow_with_its_square(spark, monkeypatch):
+    met = []
+
+    def watched(f):
+        def run(*args):
+            met.append(f(*args).cache())
+            return met[-1]
+
+        return run
+
+    for name in ("meeting_pairs", "relative_pairs"):
+        monkeypatch.setattr(ngram_join, name, watched(getattr(ngram_join, name)))
+    data = cousins(5, 180) + [(1000 + i, t) for i, t in cousins(6, 60, 120)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert rows(ngram_join.join_groups(frame, rounds=1, buckets=5)) == groups(data)
+    found = [m.count() for m in met]
+    print("pairs checked", found)
+    assert len(found) == 2 and sum(found) < 5 * len(data)  # of 16,110 and 1,770 pairs
+
+
 def test_groups_of_odd_rows(odd, none):
     got = rows(ngram_join.join_groups(odd, rounds=1, buckets=3).na.fill(-1))
     tokens = len({tuple(LONG.split()[k : k + 5]) for k in range(30_000 - 4)})

@@ -62,6 +62,65 @@ def test_forward_sums_all_segmentations():
     assert counts == pytest.approx([2 * sum(w for s, w in ways if x in s) / whole for x in pieces.pieces], rel=1e-3)
 
 
+def test_language_prediction_against_plain_sums(spark, docs):
+    """Scores of whole texts by a plain recursion over every segmentation, also of words of any length."""
+    import math
+
+    vocabulary = P.path("piece_bpe_32k.model")
+    odd_words = [(90_001, "donaudampfschifffahrtsgesellschaftskapitänswitwenrentenversicherung " * 3), (90_002, "thequickbrownfoxjumpsoverthelazydog" * 40), (90_003, "中文没有空格的句子" * 9)]
+    some = docs.where("length(text) < 1500").limit(40).select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, None) for i, t in odd_words], "doc_id long, text string, lang string")).cache()
+    pieces = language_id.Pieces(language_id.read_pieces(vocabulary))
+    languages, table = language_id.train(some, pieces, sample_docs=1500, rounds=3, most_languages=9)
+    where, most = {p: i for i, p in enumerate(pieces.pieces)}, max(map(len, pieces.pieces))
+
+    def plain(word, k):
+        word, total = "▁" + word, [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [total[end - 1] + math.log(language_id.UNKNOWN)] + [total[s] + math.log(table[where[word[s:end]], k]) for s in range(max(0, end - most), end) if word[s:end] in where]
+            total.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+        return total[-1]
+
+    for r in language_id.identify(some, vocabulary, most_languages=9).join(some.select("doc_id", "text"), "doc_id").collect():
+        total = np.array([sum(plain(w, k) for w in language_id.words_of(r["text"])) for k in range(len(languages))])
+        assert r["lang_pred"] == languages[int(total.argmax())] and r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-6)
+    with pytest.raises(Exception, match="more than 1 languages"):
+        language_id.identify(some, vocabulary, most_languages=1)
+
+
+def test_ridge_equals_a_direct_solution(more):
+    docs, labels = more
+    stats = quality_classifier.statistics(docs, "doc_id", "text").repartition(70).cache()
+    model = quality_classifier.fit(stats, labels, features=24, ridge=1.0, seed=7, label_id_col="doc_id", label_col="quality")
+    rows_ = stats.where(~quality_classifier.held_out()).join(labels.select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").toArrow().combine_chunks()
+    z, y = model.features(rows_.to_batches()[0]), rows_.column("y").to_numpy()
+    weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
+    direct = np.linalg.solve(z.T @ (z * weight[:, None]) + np.eye(z.shape[1]), z.T @ (weight * y))
+    assert model.weights == pytest.approx(direct, rel=1e-6, abs=1e-8)
+
+
+def test_ordinal_fit_is_at_its_maximum():
+    r = np.random.default_rng(2)
+    rows_ = [sorted(r.choice(6, r.integers(0, 4), replace=False).tolist()) for _ in range(400)]
+    grade = np.clip(np.array([sum(1 for i in x if i < 3) for x in rows_]) + (r.random(400) < 0.15), 0, 3)
+    weights, thresholds = toxicity.fit(rows_, grade, 6, ridge=1e-2, steps=3000)
+    share = np.where(grade > 0, 0.5 / (grade > 0).sum(), 0.5 / (grade == 0).sum())
+
+    def likelihood(w, t):
+        over = toxicity.logistic(np.array([sum(w[i] for i in x) for x in rows_])[:, None] - t)
+        edge = np.hstack([np.ones((400, 1)), over, np.zeros((400, 1))])
+        i = np.arange(400)
+        return (share * np.log(edge[i, grade] - edge[i, grade + 1])).sum() - 1e-2 / 2 * (w**2).sum()
+
+    assert (np.diff(thresholds) > 0).all() and (weights >= 0).all()
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-4
+        slope = (likelihood(weights + step, thresholds) - likelihood(weights - step, thresholds)) / 2e-4
+        assert abs(slope) < 2e-3 if weights[k] > 1e-3 else slope < 2e-3
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-4
+        assert abs(likelihood(weights, thresholds + step) - likelihood(weights, thresholds - step)) / 2e-4 < 2e-3
+
+
 def test_toxicity_on_planted_rows(spark, odd, none):
     r = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
