@@ -45,7 +45,7 @@ from nodelake.llm.components import components
 from nodelake.llm.shared_keys import shared_keys
 from nodelake.llm.suffix_dedup import mixed
 from nodelake.llm.text_stats import let
-from nodelake.session import small_batches, stored
+from nodelake.session import scratch, small_batches, stored
 
 CHUNK = 2_000_000
 #: Sizes of a class of sets differ by this factor at most.
@@ -357,41 +357,42 @@ def join_groups(
             own = rank < (n - required(n, percent) + extension(n))[doc]
             yield owner[doc[own]], token[own]
 
-    found = shared_keys(rows.where("doc_id is not null").select("text"), prefixes, buckets).groupBy("owner").agg(F.collect_list("keys").alias("keys"), F.sum(F.octet_length("keys") / 8).alias("open"))
-    left = stored(classes.join(found, "owner").where(F.col("open") >= open_needed(percent)).select("owner", "node", "key", "n", "keys"), "shingle-candidates")
-
-    def post(batches):
-        for batch in batches:
-            tokens = [np.unique(np.frombuffer(b"".join(keys), "<i8")) for keys in batch.column("keys").to_pylist()]
-            node, n = (batch.column(c).to_numpy() for c in ("node", "n"))
-            yield from spread(["node", "n", "share"], [node, n, np.array([len(t) for t in tokens]) / n], tokens)
-
-    def gather(batches):
-        for batch in batches:
-            out = []
-            owners, nodes = batch.column("owner").to_pylist(), batch.column("node").to_pylist()
-            for lo, hi, doc, token in chunks(batch, width):
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                out += [(owners[lo + i], nodes[lo + i], int(cut[i + 1] - cut[i]), token[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo)]
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["owner", "node", "n", "tokens"])
-
-    chosen = rows.select("key", "text").join(left.select("key", "owner", "node"), "key").dropDuplicates(["key"])
-    sets = stored(chosen.select("owner", "node", "text").mapInArrow(gather, SETS), "shingle-sets")
-    postings = stored(left.select("node", "n", "keys").mapInArrow(post, "node long, n long, share double, token long"), "shingle-postings")
-    links, labels, kin = None, None, None
-    for turn in range(rounds):
-        postings, pairs = star_round(postings, labels, percent, turn)
-        if turn == 0:
-            met = stored(compared(pairs, sets, percent), "shingle-leaders")
-            kin, new = stored(families(met), "shingle-families"), met.where("linked").select("a", "b").distinct()
-        else:
-            new = verified(pairs, sets, percent)
-        links = stored(new if links is None else links.union(new), "shingle-links")
-        labels = stored(components(links).select(F.col("node"), F.col("label")), "shingle-labels")
-    last = meeting_pairs(postings, sets, labels, kin, percent, frequent).union(relative_pairs(kin, labels, percent))
-    links = stored(links.union(verified(last, sets, percent)), "shingle-links")
-    labels = components(links)
-    groups = stored(classes.select("owner", "check", "n", "node").join(labels, "node", "left"), "shingle-groups")
+    with scratch(docs.sparkSession):
+        found = shared_keys(rows.where("doc_id is not null").select("text"), prefixes, buckets).groupBy("owner").agg(F.collect_list("keys").alias("keys"), F.sum(F.octet_length("keys") / 8).alias("open"))
+        left = stored(classes.join(found, "owner").where(F.col("open") >= open_needed(percent)).select("owner", "node", "key", "n", "keys"), "shingle-candidates")
+
+        def post(batches):
+            for batch in batches:
+                tokens = [np.unique(np.frombuffer(b"".join(keys), "<i8")) for keys in batch.column("keys").to_pylist()]
+                node, n = (batch.column(c).to_numpy() for c in ("node", "n"))
+                yield from spread(["node", "n", "share"], [node, n, np.array([len(t) for t in tokens]) / n], tokens)
+
+        def gather(batches):
+            for batch in batches:
+                out = []
+                owners, nodes = batch.column("owner").to_pylist(), batch.column("node").to_pylist()
+                for lo, hi, doc, token in chunks(batch, width):
+                    cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                    out += [(owners[lo + i], nodes[lo + i], int(cut[i + 1] - cut[i]), token[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo)]
+                yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["owner", "node", "n", "tokens"])
+
+        chosen = rows.select("key", "text").join(left.select("key", "owner", "node"), "key").dropDuplicates(["key"])
+        sets = stored(chosen.select("owner", "node", "text").mapInArrow(gather, SETS), "shingle-sets")
+        postings = stored(left.select("node", "n", "keys").mapInArrow(post, "node long, n long, share double, token long"), "shingle-postings")
+        links, labels, kin = None, None, None
+        for turn in range(rounds):
+            postings, pairs = star_round(postings, labels, percent, turn)
+            if turn == 0:
+                met = stored(compared(pairs, sets, percent), "shingle-leaders")
+                kin, new = stored(families(met), "shingle-families"), met.where("linked").select("a", "b").distinct()
+            else:
+                new = verified(pairs, sets, percent)
+            links = stored(new if links is None else links.union(new), "shingle-links")
+            labels = stored(components(links).select(F.col("node"), F.col("label")), "shingle-labels")
+        last = meeting_pairs(postings, sets, labels, kin, percent, frequent).union(relative_pairs(kin, labels, percent))
+        links = stored(links.union(verified(last, sets, percent)), "shingle-links")
+        labels = components(links)
+        groups = stored(classes.select("owner", "check", "n", "node").join(labels, "node", "left"), "shingle-groups", keep=True)
     whole = signed.where("doc_id is not null").join(groups, ["owner", "check", "n"], "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node", "doc_id").alias("component_id")).union(
         signed.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long"))

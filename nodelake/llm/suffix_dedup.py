@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodelake.llm.shared_keys import code, per_owner, runs, shared_keys
-from nodelake.session import stored
+from nodelake.session import scratch, small_batches, stored
 
 ANCHOR = 16
 CHUNK = 2_000_000
 #: Zones at a time, and bytes of zones that a task holds to find equal ones.
 SLICE, HELD = 20_000, 12_000_000
+#: Bytes of different texts for each bucket.
+BUCKET = 128_000_000
 ODD = 0x9E3779B97F4A7C15
 MARKS = "key long, marks binary"
 MARK = np.dtype([("lo", "<u4"), ("mask", "<u8")])
@@ -154,10 +156,10 @@ def told(marks: list[tuple], step: int = 20_000) -> Iterator[pa.RecordBatch]:
 
 
 def first_copies(docs: DataFrame, width: int) -> DataFrame:
-    """key, text_hash of the document with the least id of each distinct text of ``width`` bytes or more."""
+    """key, text_hash, n_bytes of the document with the least id of each distinct text of ``width`` bytes or more."""
     long = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    hashed = long.select("doc_id", "key", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), "text").alias("check"))
-    return hashed.groupBy("text_hash", "check").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key", "text_hash")
+    hashed = long.select("doc_id", "key", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), "text").alias("check"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return hashed.groupBy("text_hash", "check").agg(F.min(F.struct("doc_id", "key", "n_bytes")).alias("first")).select("first.key", "text_hash", "first.n_bytes")
 
 
 def marks_of(docs: DataFrame, firsts: DataFrame, width: int, buckets: int, hot_docs: int) -> DataFrame:
@@ -284,11 +286,14 @@ def dedup(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col:
 
     ``with_text`` adds kept_text, the bytes left as text (parts of cut characters are left out).
     """
-    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     plain = plain.withColumn("key", F.xxhash64("doc_id", "text"))
     firsts = stored(first_copies(plain, width), "suffix-texts")
-    marks = stored(marks_of(plain, firsts, width, buckets, hot_docs), "suffix-marks").groupBy("key").agg(F.collect_list("marks").alias("marks"))
+    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (firsts.agg(F.sum("n_bytes")).collect()[0][0] or 0) // BUCKET)
+    with scratch(docs.sparkSession):
+        marks = stored(marks_of(plain, firsts, width, buckets, hot_docs), "suffix-marks", keep=True)
+    marks = marks.groupBy("key").agg(F.collect_list("marks").alias("marks"))
     judged = firsts.select("key").distinct().join(marks, "key", "left").select("key", F.coalesce("marks", F.array().cast("array<binary>")).alias("marks"))
     joined = plain.withColumn("text", F.col("text").cast("binary")).join(judged, "key", "left").drop("key")
     kinds = dict(joined.dtypes)
