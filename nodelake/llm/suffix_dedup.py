@@ -8,15 +8,17 @@ places, so all windows of one anchor (a zone of at most twice the width) move as
 0. Of equal texts (told by 128 bits of hash) the one with the least doc_id goes on; every byte of the
    others goes.
 1. First digit: the anchor. Anchors that occur in one text only are closed (``shared_keys``).
-2. The zones of the open anchors are dealt by anchor. An anchor with a single distinct zone is closed:
-   all its windows are equal. The windows of the others are sorted by their bytes, eight at a pass;
-   a group is closed as soon as it has one window, and what stays together to the end is equal.
+2. The open anchors' zones are told apart by a hash (with the anchor's, 96 bits) that is dealt by anchor
+   in their stead. Of equal zones all but those of the least doc_id are marked whole. An anchor with a
+   single distinct zone is closed: all its windows are equal.
+3. Of the others, one zone of each kind is dealt with its bytes. Its windows are sorted by them, eight at a
+   pass; a group is closed as soon as it has one window, and what stays together to the end is equal.
    Every comparison here is of whole bytes.
-3. Each group's smallest doc_id is compared with the others', and the marks go back to the documents.
+4. Each group's smallest doc_id is compared with the others', and the marks go back to the documents.
 
 An anchor that more than max(``hot_docs``, a ten-thousandth of all documents) documents hold is dealt by its
-windows instead, so a passage that a third of the corpus shares lands in many tasks; equal zones
-within a batch are sent once. There are at most ten thousand times the anchors of a mean document of
+zone and one of SALTS salts in step 2, whose least go on, and by its windows in step 3, so a passage that a
+third of the corpus shares lands in many tasks; equal zones within a batch are sent once. There are at most ten thousand times the anchors of a mean document of
 such anchors, whatever the size of the corpus, which bounds what is broadcast.
 
 Defined results: a null text is empty; a row with a null doc_id keeps all its bytes and takes none from
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ ANCHOR = 16
 CHUNK = 2_000_000
 #: Zones at a time, and bytes of zones that a task holds to find equal ones.
 SLICE, HELD = 20_000, 12_000_000
+#: Parts into which the holders of a hot zone are dealt.
+SALTS = 16
 #: Bytes of different texts for each bucket.
 BUCKET = 128_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -55,11 +60,24 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def zones(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: document, first window, last window and anchor hash of each zone."""
+def powers(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base to each exponent, modulo 2**64."""
+    out, left = np.ones(len(exponents), np.uint64), exponents.astype(np.uint64)
+    while left.any():
+        out = np.where(left & np.uint64(1), out * np.uint64(base), out)
+        base, left = base * base % 2**64, left >> np.uint64(1)
+    return out
+
+
+def zones(data: np.ndarray, ends: np.ndarray, width: int, whole: bool = False) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: document, first window, last window and anchor hash of each zone.
+
+    With ``whole``, then a hash of all its bytes: a polynomial over the hashes of its 16-byte strings.
+    """
     none = np.zeros(0, np.int64)
+    empty = (none, none, none, none.astype(np.uint64)) + whole * (none.astype(np.uint64),)
     if len(data) < width:
-        return none, none, none, none.astype(np.uint64)
+        return empty
     h, power, n = data.astype(np.uint64), ODD, 1
     while n < ANCHOR:
         h = h[:-n] * np.uint64(power) + h[n:]
@@ -79,14 +97,20 @@ def zones(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, .
     np.add.at(valid, ends[long] - width + 1, -1)
     window = np.flatnonzero(np.cumsum(valid)[: len(at)] > 0)
     if not len(window):
-        return none, none, none, none.astype(np.uint64)
+        return empty
     doc = np.searchsorted(ends, window, side="right")
     cut = np.flatnonzero((at[window][1:] != at[window][:-1]) | (doc[1:] != doc[:-1])) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(window)]]) - 1
-    return doc[first], window[first], window[last], mixed(h[at[window[first]]], 2)
+    found = doc[first], window[first], window[last], mixed(h[at[window[first]]], 2)
+    if not whole:
+        return found
+    del low, at, doc, window
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(np.full(len(h), ODD, np.uint64)))])
+    hashed = (total[found[2] + span] - total[found[1]]) * powers(pow(ODD, -1, 2**64), found[1])
+    return *found, mixed(hashed + (found[2] - found[1]).astype(np.uint64), 5)
 
 
-def chunks(keys: list, texts: list, width: int) -> Iterator[tuple]:
+def chunks(keys: list, texts: list, width: int, whole: bool = False) -> Iterator[tuple]:
     """Rows in groups of at most CHUNK bytes (or one text): their zones."""
     lo = 0
     while lo < len(texts):
@@ -96,7 +120,7 @@ def chunks(keys: list, texts: list, width: int) -> Iterator[tuple]:
             hi += 1
         data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
         ends = np.cumsum([len(t) for t in texts[lo:hi]])
-        yield lo, hi, data, ends, zones(data, ends, width)
+        yield lo, hi, data, ends, zones(data, ends, width, whole)
         lo = hi
 
 
@@ -127,6 +151,16 @@ def smallest(data: np.ndarray, start: np.ndarray, value: np.ndarray, width: int)
     return out
 
 
+def settle(codes: np.ndarray, zone: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order of zones by code, hash and doc_id; in it: has it an equal of smaller doc_id, has its code other zones."""
+    order = np.lexsort((ids, zone, codes))
+    codes, zone, ids = codes[order], zone[order], ids[order]
+    new_code = np.concatenate([[True], codes[1:] != codes[:-1]])
+    new = new_code | np.concatenate([[True], zone[1:] != zone[:-1]])
+    at, of = np.cumsum(new) - 1, np.cumsum(new_code) - 1
+    return order, ids > ids[new][at], np.bincount(of, weights=new)[of] > 1
+
+
 def windows_hash(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each string data[start : start + width]."""
     out = np.zeros(len(start), np.uint64)
@@ -162,6 +196,82 @@ def first_copies(docs: DataFrame, width: int) -> DataFrame:
     return hashed.groupBy("text_hash", "check").agg(F.min(F.struct("doc_id", "key", "n_bytes")).alias("first")).select("first.key", "text_hash", "first.n_bytes")
 
 
+def wanted(doc: np.ndarray, codes: np.ndarray, opened: list) -> np.ndarray:
+    """The zones whose code their document has among its open ones.
+
+    Documents and codes are compared as one number each; a wrong match only sends a zone that none shares.
+    """
+    packed = [b"".join(x) for x in opened]
+    owner = np.repeat(np.arange(len(packed), dtype=np.uint64), [len(x) // 8 for x in packed])
+    return np.flatnonzero(np.isin(mixed(codes ^ (doc.astype(np.uint64) * np.uint64(ODD)), 6), mixed(np.frombuffer(b"".join(packed), "<u8") ^ (owner * np.uint64(ODD)), 6)))
+
+
+def by_zone(chosen: DataFrame, width: int, buckets: int, hot_codes) -> DataFrame:
+    """key, marks of zones that a smaller doc_id has too, open: codes of the zones that must be compared by bytes.
+
+    Zones travel as columns packed for each bucket: code, hash, document, first window and number of windows.
+    """
+    columns = ["codes", "zones", "at", "lo", "count"]
+    kinds = ["<u8", "<u8", "<u2", "<u4", "u1"]
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("marks", pa.binary()), ("hot", pa.bool_()), ("owners", pa.binary()), ("ids", pa.binary()), *[(c, pa.binary()) for c in columns]])
+    result = pa.schema([("key", pa.int64()), ("marks", pa.binary()), ("open", pa.binary())])
+
+    def whole(keys, lo, count):
+        return packed_marks(keys, lo, np.uint64(2**64 - 1) >> (64 - count).astype(np.uint64))
+
+    def send(batches):
+        salt = np.uint64(TaskContext.get().partitionId() % SALTS * 0x9E37)
+        for batch in batches:
+            keys, ids, texts, opened = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("text").to_pylist(), batch.column("open").to_pylist()
+            for lo, hi, _, ends, (doc, first, last, h, zone) in chunks(keys, texts, width, whole=True):
+                codes = code(h, buckets)
+                chosen_ = wanted(doc, codes, opened[lo:hi])
+                if not len(chosen_):
+                    continue
+                doc, codes, zone, first, count = doc[chosen_], codes[chosen_], zone[chosen_], first[chosen_], (last - first)[chosen_] + 1
+                first = first - np.concatenate([[0], ends[:-1]])[doc]
+                order, known, _ = settle(codes, zone, ids[lo + doc])
+                doc, codes, zone, first, count = (x[order] for x in (doc, codes, zone, first, count))
+                out = [{"bucket": k * 31 % buckets, "key": k, "marks": m} for k, m in whole(keys[lo + doc[known]], first[known], count[known])]
+                sent = ~known
+                is_hot = np.isin(codes, hot_codes.value)
+                bucket = np.where(is_hot, ((zone >> np.uint64(32)) + salt) % np.uint64(buckets), codes >> np.uint64(32)).astype(np.int64)
+                for hot in (False, True):
+                    some = np.flatnonzero(sent & (is_hot == hot))
+                    some = some[np.argsort(bucket[some], kind="stable")]
+                    cut = runs(bucket[some])
+                    for i, j in zip(cut[:-1], cut[1:], strict=True):
+                        for part in np.split(some[i:j], range(50_000, j - i, 50_000)):
+                            own, at = np.unique(doc[part], return_inverse=True)
+                            values = codes[part] if hot else codes[part].astype("<u4"), zone[part], at.astype("<u2"), first[part].astype("<u4"), count[part].astype("u1")
+                            out.append({"bucket": int(bucket[part[0]]), "hot": hot, "owners": keys[lo + own].tobytes(), "ids": ids[lo + own].tobytes(), **dict(zip(columns, (v.tobytes() for v in values), strict=True))})
+                for i in range(0, len(out), 1000):
+                    yield pa.RecordBatch.from_pylist(out[i : i + 1000], schema)
+
+    def find(batches):
+        gathered: dict[tuple, list] = {}
+        for batch in batches:
+            told_ = batch.filter(batch.column("hot").is_null())
+            if told_.num_rows:
+                yield pa.RecordBatch.from_arrays([told_.column("key"), told_.column("marks"), pa.nulls(told_.num_rows, pa.binary())], schema=result)
+            for r in batch.filter(batch.column("hot").is_valid()).to_pylist():
+                codes, zone, at, lo, count = (np.frombuffer(r[c], k if c != "codes" or r["hot"] else "<u4") for c, k in zip(columns, kinds, strict=True))
+                gathered.setdefault((r["bucket"], r["hot"]), []).append((codes, zone, np.frombuffer(r["owners"], "<i8")[at], np.frombuffer(r["ids"], "<i8")[at], lo, count))
+        for bucket, hot in list(gathered):
+            codes, zone, owner, ids, lo, count = (np.concatenate(x) for x in zip(*gathered.pop((bucket, hot)), strict=True))
+            order, known, differs = settle(codes, zone, ids)
+            codes, owner, lo, count = codes[order], owner[order], lo[order], count[order]
+            codes = codes if hot else np.uint64(bucket << 32) | codes.astype(np.uint64)
+            go_on = ~known & (differs | hot)
+            out = [{"key": k, "marks": m} for k, m in whole(owner[known], lo[known], count[known])]
+            out += [{"key": k, "open": c} for k, c in per_owner(owner[go_on], codes[go_on])]
+            for i in range(0, len(out), 5000):
+                yield pa.RecordBatch.from_pylist(out[i : i + 5000], result)
+
+    ddl = "bucket int, key long, marks binary, hot boolean, owners binary, ids binary, codes binary, zones binary, at binary, lo binary, count binary"
+    return chosen.mapInArrow(send, ddl).repartitionById(buckets, "bucket").mapInArrow(find, "key long, marks binary, open binary")
+
+
 def marks_of(docs: DataFrame, firsts: DataFrame, width: int, buckets: int, hot_docs: int) -> DataFrame:
     """key, marks: windows to remove from ``firsts``, packed as (first window, bits of it and those after)."""
     span = width - ANCHOR + 1
@@ -176,11 +286,15 @@ def marks_of(docs: DataFrame, firsts: DataFrame, width: int, buckets: int, hot_d
 
     n = docs.count()
     by_text = rows.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    open_anchors = stored(shared_keys(by_text, anchors, buckets, hot=max(hot_docs, n // 10_000)), "suffix-anchors")
-    hot = [np.frombuffer(r[0], "<u8") for r in open_anchors.where(F.col("owner").isNull()).select("keys").toLocalIterator()]
-    hot_codes = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, "<u8"), *hot])))
-    open_of = open_anchors.where(F.col("owner").isNotNull()).groupBy(F.col("owner").alias("text_hash")).agg(F.collect_list("keys").alias("open"))
-    open_of = firsts.join(open_of, "text_hash").select("key", "open")
+    bytes_of = rows.select("key", "doc_id", F.col("text").cast("binary").alias("text"))
+    with scratch(docs.sparkSession):
+        open_anchors = stored(shared_keys(by_text, anchors, buckets, hot=max(hot_docs, n // 10_000)), "suffix-anchors")
+        hot = [np.frombuffer(r[0], "<u8") for r in open_anchors.where(F.col("owner").isNull()).select("keys").toLocalIterator()]
+        hot_codes = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, "<u8"), *hot])))
+        open_of = open_anchors.where(F.col("owner").isNotNull()).groupBy(F.col("owner").alias("text_hash")).agg(F.collect_list("keys").alias("open"))
+        open_of = firsts.join(open_of, "text_hash").select("key", "open")
+        told_apart = stored(by_zone(bytes_of.join(open_of, "key"), width, buckets, hot_codes), "suffix-zones", keep=True)
+    open_of = told_apart.where(F.col("open").isNotNull()).groupBy("key").agg(F.collect_list("open").alias("open"))
     sent_schema = "deal long, zone binary, doc_id long, key long, lo int, marks binary"
     names, types = [x.split()[0] for x in sent_schema.split(", ")], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -210,10 +324,7 @@ def marks_of(docs: DataFrame, firsts: DataFrame, width: int, buckets: int, hot_d
             held, size = [], 0
             for lo, hi, data, ends, (doc, first, last, h) in chunks(keys, texts, width):
                 codes, begin = code(h, buckets), np.concatenate([[0], ends[:-1]])
-                wanted = [b"".join(x) for x in opened[lo:hi]]
-                owner = np.repeat(np.arange(hi - lo, dtype=np.uint64), [len(x) // 8 for x in wanted])
-                # Documents and codes as one number each; a wrong match only sends a zone that none shares.
-                zone = np.flatnonzero(np.isin(mixed(codes ^ (doc.astype(np.uint64) * np.uint64(ODD)), 6), mixed(np.frombuffer(b"".join(wanted), "<u8") ^ (owner * np.uint64(ODD)), 6)))
+                zone = wanted(doc, codes, opened[lo:hi])
                 is_hot = np.isin(codes[zone], hot_codes.value)
                 for at in range(0, len(zone), SLICE):
                     z, each = zone[at : at + SLICE], is_hot[at : at + SLICE]
@@ -265,8 +376,8 @@ def marks_of(docs: DataFrame, firsts: DataFrame, width: int, buckets: int, hot_d
         some = mask > 0
         yield from told(packed_marks(keys[some], los[some], mask[some]))
 
-    chosen = rows.select("key", "doc_id", F.col("text").cast("binary").alias("text")).join(open_of, "key")
-    return chosen.mapInArrow(deal, sent_schema).repartition(buckets, "deal").mapInArrow(sort, MARKS)
+    dealt = bytes_of.join(open_of, "key").mapInArrow(deal, sent_schema).repartition(buckets, "deal")
+    return dealt.mapInArrow(sort, MARKS).union(told_apart.where(F.col("marks").isNotNull()).select("key", "marks"))
 
 
 def removed(text: bytes, marks: list[bytes], width: int) -> np.ndarray:
