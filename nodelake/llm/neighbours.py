@@ -190,11 +190,12 @@ def searched(vectors, is_query, k, id_col, vector_col, tables, grid, probes, rec
     kind = np.dtype("f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8")
     rows = stored(usable(vectors, id_col, vector_col).withColumn("query", F.coalesce(is_query, F.lit(False))), "vectors")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, dimension, shortest, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(length), F.max(length)).collect()[0]
+    n, queries, dimension, shortest, longest = rows.agg(F.count(F.lit(1)), F.count_if("query"), F.max(F.size("v")), F.min(length), F.max(length)).collect()[0]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest_rows = rows.orderBy(F.desc(length), "id").limit(LONGEST) if longest > shortest * 1.001 else None
-    hashing = spark.sparkContext.broadcast(fitted(rows, longest_rows, dimension, k, n, tables, grid, probes, recall, seed))
+    longest_rows = stored(longest_of(rows, length, shortest, longest), "longest") if longest > shortest * 1.001 else None
+    asked, sample = least(rows.where("query"), FIT_QUERIES, queries), least(rows, FIT_ROWS, n)
+    hashing = spark.sparkContext.broadcast(fitted(rows, asked, sample, longest_rows, dimension, k, n, tables, grid, probes, recall, seed))
     parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables * (dimension * kind.itemsize + 32) // PART_BYTES)
     limit = max(4096, n * tables // 10_000)
 
@@ -285,15 +286,34 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(_by_query())).where(F.col("rank") <= k)
 
 
-def fitted(rows: DataFrame, longest: DataFrame | None, dimension, k, n, tables, grid, probes, recall, seed) -> Tables:
-    """The setting of ``grid`` with the least work at ``recall``, on bounded samples of queries and rows.
+def least(rows: DataFrame, many: int, n: int) -> DataFrame:
+    """The ``many`` rows of least id hash, of ``n``. Only twice as many pass the bound on the hash, so that what the
+    partitions send to be put in order does not grow with their number."""
+    bound = -(2**63) + int(2**64 * min(1.0, 2 * many / max(n, 1)))
+    few = rows.where(F.xxhash64("id") <= min(bound, 2**63 - 1))
+    return few.orderBy(F.xxhash64("id"), "id").limit(many).select("id", "v")
+
+
+def longest_of(rows: DataFrame, length: Column, shortest: float, longest: float, bins: int = 65_536) -> DataFrame:
+    """The LONGEST longest rows, equal ones by id; a histogram of lengths first leaves out what cannot be among them."""
+    at = F.floor((length - shortest) / (longest - shortest) * (bins - 1))
+    above, bound = 0, 0
+    for r in sorted(rows.groupBy(at.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        above, bound = above + r["count"], r["bin"]
+        if above >= LONGEST:
+            break
+    return rows.where(at >= bound).orderBy(F.desc(length), "id").limit(LONGEST)
+
+
+def fitted(rows: DataFrame, asked: DataFrame, sample: DataFrame, longest: DataFrame | None, dimension, k, n, tables, grid, probes, recall, seed) -> Tables:
+    """The setting of ``grid`` with the least work at ``recall``, on the bounded samples ``asked`` of the queries and
+    ``sample`` of the rows.
 
     Neighbours among the ``longest`` rows are found anyway and not counted. Work is counted in rows ranked, a
     visited bucket as half a row.
     """
     spark = rows.sparkSession
-    by_hash = (F.xxhash64("id"), F.col("id"))
-    asked = rows.where("query").orderBy(*by_hash).limit(FIT_QUERIES).select("id", "v").collect()
+    asked = asked.collect()
     if not asked or len(grid) == 1 and probes:
         return Tables(dimension, tables, *grid[0], probes or 1, seed)
     block = spark.sparkContext.broadcast((np.array([r["id"] for r in asked]), np.array([r["v"] for r in asked])))
@@ -306,7 +326,7 @@ def fitted(rows: DataFrame, longest: DataFrame | None, dimension, k, n, tables,
         by_query.setdefault(r["query_id"], []).append(r["v"])
     if not by_query:
         return Tables(dimension, tables, *grid[0], probes or 1, seed)
-    sample = np.array([r["v"] for r in rows.orderBy(*by_hash).limit(FIT_ROWS).select("v").collect()])
+    sample = np.array([r["v"] for r in sample.collect()])
     queries = np.array([r["v"] for r in asked if r["id"] in by_query])
     given = spark.sparkContext.broadcast((sample, queries, [np.array(by_query[r["id"]]) for r in asked if r["id"] in by_query]))
 

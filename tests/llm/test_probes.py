@@ -30,7 +30,7 @@ def share(spark, n: int) -> float:
     v = np.random.default_rng(8).normal(size=(n, 16))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, x.tolist(), i % 20 == 0) for i, x in enumerate(v)], "id long, v array<double>, query boolean")
-    t = neighbours.fitted(rows, None, 16, 10, n, 10, [(8, 1.0), (8, 1.5), (8, 2.0), (12, 1.5), (12, 2.0), (12, 2.5)], None, 0.94, 5)
+    t = neighbours.fitted(rows, neighbours.least(rows.where("query"), 64, n // 20), neighbours.least(rows, 4000, n), None, 16, 10, n, 10, [(8, 1.0), (8, 1.5), (8, 2.0), (12, 1.5), (12, 2.0), (12, 2.5)], None, 0.94, 5)
     asked = v[::20][:60]
     s = asked @ v.T
     s[np.arange(len(asked)), np.arange(0, n, 20)[: len(asked)]] = -9
@@ -46,5 +46,15 @@ def test_more_rows_are_searched_in_smaller_shares(spark):
 
 def test_given_settings_are_kept(spark):
     rows = spark.range(30).select("id", F.array(F.col("id") * 1.0 + 1, F.lit(1.0)).alias("v"), (F.col("id") < 3).alias("query"))
-    t = neighbours.fitted(rows, None, 2, 2, 30, 3, [(4, 2.0)], 7, 0.94, 5)
+    t = neighbours.fitted(rows, rows.where("query"), rows, None, 2, 2, 30, 3, [(4, 2.0)], 7, 0.94, 5)
     assert (t.cuts, t.cell, t.probes, t.tables) == (4, 2.0, 7, 3)
+
+
+def test_least_and_longest_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LONGEST", 40)
+    rows = spark.range(3000).select("id", F.array(F.col("id") % 500 + 1.0).alias("v"), F.lit(True).alias("query"))
+    kept = [r["id"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(70).collect()]
+    assert [r["id"] for r in neighbours.least(rows, 70, 3000).collect()] == kept
+    assert len(neighbours.least(rows, 5000, 3000).collect()) == 3000
+    got = [r["id"] for r in neighbours.longest_of(rows, F.col("v")[0], 1.0, 500.0, 97).collect()]
+    assert got == sorted(range(3000), key=lambda i: (-(i % 500), i))[:40]
